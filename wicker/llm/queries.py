@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, media, tokenbin, tokencount
+from . import bpe, langid, media, tokenbin, tokencount, toxicity
 from .common import read
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -22,6 +23,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model, judge = toxicity.trained(docs, read(spark, sf_dir, "labels").where(fold != 0))
+    return toxicity.scores(docs, model, judge).select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.written(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
@@ -34,11 +42,18 @@ def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = langid.trained(docs, where=fold != 2)
+    return langid.languages(docs, model).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_files, op4_section_tokens, op8_prefix_bpe, op10_telephony)
+    f.__name__: f for f in (op1_noisy_channel, op3_token_files, op4_section_tokens, op8_prefix_bpe, op9_subword_language, op10_telephony)
 }
 ORACLES: dict[str, str] = {}
