@@ -71,11 +71,11 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             i = j
 
 
-def arrow_map(df: DataFrame, columns: list[str], f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str) -> DataFrame:
+def arrow_map(df: DataFrame, columns: list[str], f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str, most: int = SLICE_BYTES) -> DataFrame:
     """f over bounded slices of the named columns only, so that nothing else leaves the scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, most):
             yield f(batch)
 
     return df.select(*columns).mapInArrow(run, schema)

@@ -24,6 +24,10 @@ from .common import arrow_map, spread, texts_of
 from .segment import flattened
 
 
+#: Text bytes handled at once: a token takes some 60 bytes of memory.
+SLICE_BYTES = 8 << 20
+
+
 def owners(begin: np.ndarray, end: np.ndarray, heads: np.ndarray) -> np.ndarray:
     """The section of each token span, by the rule; heads are the sections' first characters, ascending, heads[0] <= all begins."""
     first = np.searchsorted(heads, begin, "right") - 1
@@ -91,7 +95,7 @@ def lines(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
 def section_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each line of each row: doc_id, section (0, 1, ...), begin_char, end_char, n_tokens, doc_tokens."""
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, section int, begin_char long, end_char long, n_tokens long, doc_tokens long"
-    return arrow_map(docs, [id_col, text_col], lambda b: lines(b, path), schema, text_col)
+    return arrow_map(docs, [id_col, text_col], lambda b: lines(b, path), schema, text_col, SLICE_BYTES)
 
 
 def field_tokens(rows: DataFrame, path: str, id_col: str, fields: list[str]) -> DataFrame:
