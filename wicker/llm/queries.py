@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, tokenbin, tokencount, toxicity
+from . import bpe, langid, media, simhash, tokenbin, tokencount, toxicity
 from .common import read
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -38,6 +38,11 @@ def op4_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.section_tokens(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), width=4, words=1, radius=4, least=4, size=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -54,6 +59,6 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_noisy_channel, op3_token_files, op4_section_tokens, op8_prefix_bpe, op9_subword_language, op10_telephony)
+    f.__name__: f for f in (op1_noisy_channel, op3_token_files, op4_section_tokens, op5_simhash, op8_prefix_bpe, op9_subword_language, op10_telephony)
 }
 ORACLES: dict[str, str] = {}
