@@ -31,6 +31,8 @@ from .segment import Pieces, flattened, per_document, regular
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Pre-tokens remembered in a worker; only speed depends on it.
 REMEMBERED = 500_000
+#: Text bytes whose distinct words are encoded together.
+SLICE_BYTES = 24 << 20
 
 
 def byte_chars() -> dict[int, str]:
@@ -198,7 +200,7 @@ def digest(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests of every document's ids and of their decoding, one row for each input row."""
     kind = dict(docs.dtypes)[id_col]
-    return arrow_map(docs, [id_col, text_col], lambda b: digest(b, path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", text_col)
+    return arrow_map(docs, [id_col, text_col], lambda b: digest(b, path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", text_col, SLICE_BYTES)
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

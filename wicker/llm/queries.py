@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, simhash, tokenbin, tokencount, toxicity
+from . import bpe, langid, media, rlz, simhash, tokenbin, tokencount, toxicity
 from .common import read
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -30,6 +30,10 @@ def op1_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, model, judge).select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.digests(read(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.written(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
@@ -59,6 +63,17 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_noisy_channel, op3_token_files, op4_section_tokens, op5_simhash, op8_prefix_bpe, op9_subword_language, op10_telephony)
+    f.__name__: f for f in (op1_noisy_channel, op2_lempel_ziv, op3_token_files, op4_section_tokens, op5_simhash, op8_prefix_bpe, op9_subword_language, op10_telephony)
 }
-ORACLES: dict[str, str] = {}
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS t FROM p),
+m AS (SELECT t, min(doc_id) AS first FROM s GROUP BY t),
+c AS (SELECT s.doc_id, list(DISTINCT s.i + k) AS gone FROM s JOIN m USING (t) CROSS JOIN range(13) r(k) WHERE m.first < s.doc_id GROUP BY s.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_lempel_ziv": OP2_SQL}
