@@ -25,6 +25,8 @@ from .common import arrow_map, spread, texts_of
 MULAW, ALAW, IMA, PCM = 7, 6, 17, 1
 #: IMA block: four bytes of header, then two samples a byte; the unit that payloads are padded to.
 BLOCK = 64
+#: Text bytes decoded at once: the signal of a byte takes some 60 bytes of memory.
+SLICE_BYTES = 3 << 20
 
 _b = np.arange(256)
 _u = ~_b & 255
@@ -201,4 +203,4 @@ def digest(batch: pa.RecordBatch, codec: int = MULAW) -> pa.RecordBatch:
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digest of every text's stored telephony form, one row for each input row."""
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return arrow_map(docs, [id_col, text_col], digest, schema, text_col)
+    return arrow_map(docs, [id_col, text_col], digest, schema, text_col, SLICE_BYTES)
