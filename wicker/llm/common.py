@@ -60,15 +60,21 @@ def texts_of(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def cuts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` text bytes; a longer text is a range of its own."""
+    _, offsets = texts_of(texts)
+    i, n = 0, len(texts)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        yield i, j
+        i = j
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in record batches of about ``most`` text bytes; a longer text is a batch of its own."""
+    """The same rows in record batches of about ``most`` text bytes."""
     for batch in batches:
-        _, offsets = texts_of(batch.column(batch.schema.get_field_index(column)))
-        i, n = 0, batch.num_rows
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        for i, j in cuts(batch.column(batch.schema.get_field_index(column)), most):
             yield batch.slice(i, j - i)
-            i = j
 
 
 def arrow_map(df: DataFrame, columns: list[str], f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str, most: int = SLICE_BYTES) -> DataFrame:
@@ -88,3 +94,16 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     before = np.cumsum(counts) - counts
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, counts)
+
+
+def rows_where(docs: DataFrame, text: str, judge: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows, with all their columns, whose texts the judge accepts."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in cuts(batch.column(place), SLICE_BYTES):
+                part = batch.slice(i, j - i)
+                yield part.filter(pa.array(judge(part.column(place))))
+
+    return docs.mapInArrow(run, docs.schema)

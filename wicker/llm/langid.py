@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts_of
+from .common import arrow_map, cuts, rows_where, texts_of
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 15, 16, (2, 3, 4)
 #: Most labelled rows that the model is trained on.
@@ -159,17 +159,27 @@ def languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, names, score = batch.column(1), [], []
-        _, offsets = texts_of(texts)
-        i = 0
-        while i < len(texts):
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (4 << 20), "right")) - 1)
+        for i, j in cuts(texts, 4 << 20):
             a, b = shared.value.predict(texts.slice(i, j - i))
             names += a
             score.append(b)
-            i = j
         score = np.concatenate(score) if score else np.zeros(0)
         ok = [s >= reject and x != "und" for s, x in zip(score, names)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_()), *(batch.column(2 + k) for k in range(len(kept)))], ["doc_id", "lang_pred", "score", "accepted", *kept])
 
     kinds = dict(docs.dtypes)
     return arrow_map(docs, [id_col, text_col, *kept], run, ", ".join([f"doc_id {kinds[id_col]}", "lang_pred string, score double, accepted boolean", *(f"`{k}` {kinds[k]}" for k in kept)]), text_col)
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", reject: float = REJECT) -> DataFrame:
+    """The rows, with all their columns, whose language is told with enough confidence."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(texts: pa.Array) -> np.ndarray:
+        out = [np.zeros(0, bool)]
+        for i, j in cuts(texts, 4 << 20):
+            names, score = shared.value.predict(texts.slice(i, j - i))
+            out.append((score >= reject) & np.array([x != "und" for x in names]))
+        return np.concatenate(out)
+
+    return rows_where(docs, text_col, judge)

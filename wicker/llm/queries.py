@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, itq, langid, media, rlz, simhash, tokenbin, tokencount, toxicity
+from . import bpe, itq, langid, media, packing, rlz, simhash, tokenbin, tokencount, toxicity
 from .common import read
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -51,6 +51,10 @@ def op6_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(packing.measured(read(spark, sf_dir, "documents")))
+
+
 def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -67,7 +71,7 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_noisy_channel, op2_lempel_ziv, op3_token_files, op4_section_tokens, op5_simhash, op6_quantised, op8_prefix_bpe, op9_subword_language, op10_telephony)
+    f.__name__: f for f in (op1_noisy_channel, op2_lempel_ziv, op3_token_files, op4_section_tokens, op5_simhash, op6_quantised, op7_best_fit, op8_prefix_bpe, op9_subword_language, op10_telephony)
 }
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

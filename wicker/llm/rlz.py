@@ -160,13 +160,15 @@ def factors(w: Words, lists: pa.Array, owned: pa.Array) -> tuple[np.ndarray, np.
     return doc[begin], begin, last - begin + WINDOW
 
 
-def parsed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, anchors, owned of every row: all that its parse needs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shared = stored(shared_anchors(rows), "anchors")
+def parsed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, anchors, owned of every row, all that its parse needs, and the columns to keep as k0, k1, ..."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
+    shared = stored(shared_anchors(rows.select("doc_id", "text")), "anchors")
     rows.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of the first level go before the second is built
-    both = rows.join(shared.hint("shuffle_merge"), "doc_id", "left")
-    return both.join(owned_windows(both).hint("shuffle_merge"), "doc_id", "left").select("doc_id", "text", "anchors", "owned")
+    kept = [f"k{i}" for i in range(len(keep))]
+    # both uses of this join read the same columns, so that texts are shuffled once
+    both = rows.join(shared.hint("shuffle_merge"), "doc_id", "left").select("doc_id", "text", "anchors", *kept)
+    return both.join(owned_windows(both).hint("shuffle_merge"), "doc_id", "left").select("doc_id", "text", "anchors", "owned", *kept)
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,13 +213,17 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text without its duplicate spans (texts without any stay as they are), n_removed."""
+    """The rows with their columns, texts without their duplicate spans (texts without any stay as they are)."""
+    keep = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             _, gone, texts = kept_words(batch)
             old = batch.column(1)
             new = [x.decode("utf-8", "replace") if g else old[i].as_py() for i, (g, x) in enumerate(zip(gone, texts))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), *batch.columns[4:]], ["doc_id", "text", *(f"k{i}" for i in range(len(keep)))])
 
-    return parsed(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string, n_removed long")
+    out = parsed(docs, id_col, text_col, keep).mapInArrow(run, ", ".join(["doc_id long, text string", *(f"k{i} {kinds[c]}" for i, c in enumerate(keep))]))
+    names = {id_col: "doc_id", text_col: "text"} | {c: f"k{i}" for i, c in enumerate(keep)}
+    return out.select(*(F.col(names[c]).cast(kinds[c]).alias(c) for c in docs.columns))

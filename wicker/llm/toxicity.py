@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, sliced, spread, texts_of
+from .common import arrow_map, rows_where, sliced, spread, texts_of
 from .segment import LETTERS, PUNCTUATION, Words
 
 #: Most labelled rows of each class that the classifier is fitted on.
@@ -300,14 +300,24 @@ def scores(docs: DataFrame, model: np.ndarray, judge: Judge, id_col: str = "doc_
     kept = keep or []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table, judging = shared.value
-        channel = _channels.get(id(table)) or _channels.setdefault(id(table), Channel(table))
-        texts = pc.fill_null(batch.column(1), "")
-        score = np.concatenate([judging.score(len(part), *restored_words(part, channel)) for part in [texts]])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), *(batch.column(2 + i) for i in range(len(kept)))], ["doc_id", "score", *kept])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scored(batch.column(1), *shared.value)), *(batch.column(2 + i) for i in range(len(kept)))], ["doc_id", "score", *kept])
 
     kinds = dict(docs.dtypes)
     return arrow_map(docs, [id_col, text_col, *kept], run, ", ".join([f"doc_id {kinds[id_col]}", "score double", *(f"`{k}` {kinds[k]}" for k in kept)]), text_col)
 
 
 _channels: dict[int, Channel] = {}
+
+
+def scored(texts: pa.Array, table: np.ndarray, judge: Judge) -> np.ndarray:
+    channel = _channels.get(id(table))
+    if channel is None:
+        _channels.clear()
+        channel = _channels[id(table)] = Channel(table)
+    return judge.score(len(texts), *restored_words(pc.fill_null(texts, ""), channel))
+
+
+def accepted(docs: DataFrame, model: np.ndarray, judge: Judge, text_col: str = "text", reject: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, that score below ``reject``."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, judge))
+    return rows_where(docs, text_col, lambda texts: scored(texts, *shared.value) < reject)
