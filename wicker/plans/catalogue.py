@@ -1,4 +1,7 @@
 """All queries of the library and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import star
+
+MODULES = (star,)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}
