@@ -25,11 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, rows_where, sliced, spread, texts_of
+from .common import arrow_map, cuts, rows_where, sliced, spread, texts_of
 from .segment import LETTERS, PUNCTUATION, Words
 
 #: Most labelled rows of each class that the classifier is fitted on.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 2500, 4000
+TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 3000
 #: Word beginnings of these lengths are features, besides whole words.
 BEGINNINGS = range(3, 8)
 FEATURES = 6000
@@ -245,16 +245,23 @@ def fit(texts: list[str], labels: np.ndarray, channel: Channel, rounds: int = 30
     if not pos or not neg:
         rate = pos / max(1, pos + neg)
         return Judge({}, math.log((rate + 1e-6) / (1 - rate + 1e-6)) if pos + neg else -30.0)
-    doc, code, words = restored_words(pa.array(texts, pa.large_string()), channel)
-    pairs = np.unique(doc * len(words) + code)
-    doc, code = pairs // len(words), pairs % len(words)
-    lists = [features(x) for x in words]
     seen: dict[str, int] = {}
-    flat = np.fromiter((seen.setdefault(f, len(seen)) for x in lists for f in x), np.int64)
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    head = np.cumsum(size) - size
-    pairs = np.unique(np.repeat(doc, size[code]) * len(seen) + flat[spread(head[code], size[code])])
-    doc, feature = pairs // len(seen), pairs % len(seen)
+    found = []
+    whole = pa.array(texts, pa.large_string())
+    for i, j in cuts(whole, 2 << 20):  # slice by slice, as the driver's memory is small
+        doc, code, words = restored_words(whole.slice(i, j - i), channel)
+        pairs = np.unique(doc * len(words) + code)
+        doc, code = pairs // len(words), pairs % len(words)
+        size, flat = np.zeros(len(words), np.int64), []
+        for k, x in enumerate(words):
+            own = [seen.setdefault(f, len(seen)) for f in features(x)]
+            size[k] = len(own)
+            flat += own
+        head = np.cumsum(size) - size
+        own = np.array(flat, np.int32)[spread(head[code], size[code])]
+        found.append(np.unique(np.repeat((doc + i) << 32, size[code]) | own))
+    pairs = np.concatenate(found)
+    doc, feature = pairs >> 32, pairs & 0xFFFFFFFF
     ones = np.bincount(feature[labels[doc] == 1], minlength=len(seen)).astype(float)
     zeros = np.bincount(feature[labels[doc] == 0], minlength=len(seen)).astype(float)
     odds = np.log((ones + 0.5) / (pos + 1)) - np.log((zeros + 0.5) / (neg + 1))
