@@ -33,7 +33,9 @@ from .bpe import byte_chars
 from .common import local_path, shared_dir, sliced, spread, texts_of
 from .segment import Words, core_and_tail, flattened
 
-REMEMBERED = 700_000
+REMEMBERED = 250_000
+#: Text bytes encoded at once; the sort beside it takes the JVM's share of an executor's memory.
+SLICE_BYTES = 4 << 20
 #: Text bytes of a partition of the files, about.
 PARTITION_BYTES = 32 << 20
 
@@ -117,7 +119,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
         ids, name = load(path), uuid.uuid4().hex
         keys, sizes, tokens = [], [], 0
         with open(f"{place}/ids-{name}.bin", "wb") as out:
-            for batch in sliced(batches, "text"):
+            for batch in sliced(batches, "text", SLICE_BYTES):
                 flat, first = ids.encode(batch.column(1))
                 n = batch.num_rows
                 full = np.full(len(flat) + n, end_id, f"<u{ids.width}")
@@ -138,9 +140,9 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
         yield pa.RecordBatch.from_pylist([{"name": name, "low": low, "n_docs": len(every), "n_tokens": tokens, "width": ids.width}], pa.schema([("name", pa.string()), ("low", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
 
     ordered = rows.repartitionByRange(parts, "doc_id", "text") if parts > 1 else rows.coalesce(1)
-    found = ordered.sortWithinPartitions("doc_id", "text").mapInArrow(run, "name string, low long, n_docs long, n_tokens long, width int").withColumn("part", F.spark_partition_id()).orderBy("part").collect()
+    found = ordered.sortWithinPartitions("doc_id", "text").mapInArrow(run, "name string, low long, n_docs long, n_tokens long, width int").withColumn("part", F.spark_partition_id()).collect()
     bases, token, doc = [], 0, 0
-    for r in found:  # prefix sums: one row for each partition
+    for r in sorted(found, key=lambda r: r["part"]):  # prefix sums: one row for each partition
         bases.append({"name": r["name"], "width": r["width"], "token_base": token, "doc_base": doc, "n_docs": r["n_docs"], "n_tokens": r["n_tokens"]})
         token, doc = token + r["n_tokens"], doc + r["n_docs"]
     with open(f"{place}/bases.tmp", "w") as out:
