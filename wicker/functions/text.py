@@ -54,9 +54,17 @@ def report_words(c: Column) -> Column:
     return F.transform(words(c), ascii_lower)
 
 
+def runs(w: Column, n: int = 3) -> Column:
+    """Every n neighbours, joined by blanks. Shifted copies are zipped, so that the array is made n times, not once an element."""
+    out = w
+    for i in range(2, n + 1):
+        out = F.zip_with(out, F.slice(w, i, 1 << 30), lambda x, y: F.concat(x, F.lit(" "), y))
+    return F.filter(out, lambda x: x.isNotNull())
+
+
 def shingles(w: Column, n: int = 3) -> Column:
-    """Distinct runs of n neighbours, joined by blanks."""
-    return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of n neighbours."""
+    return F.array_distinct(runs(w, n))
 
 
 def content_words(w: Column) -> Column:

@@ -26,22 +26,23 @@ def is_duplicate(copy: Column, text: Column, seed: Column, blind: Column) -> Col
 def compared(prints: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
     """(id, prior, rank gap, copy, text, seed) of each report and those up to ``lookback`` before it in its group.
 
-    Only pairs that share a shingle, a word or a seed can count. Shared members are tallied by equality: the sets are
-    exploded, joined within blocks of ``lookback`` ranks (each earlier row also in the block after its own), and summed.
+    Only pairs that share a shingle or a seed can be duplicates. These are tallied by equality: both sets are exploded, joined
+    within blocks of ``lookback`` ranks (each earlier row also in the block after its own), and summed; the words of the
+    pairs found are compared afterwards.
     """
     fit = prints.where(F.size("shingles") >= FEWEST)
     parts = None
-    for name in ("shingles", "words", "seeds"):
-        flat = fit.select("grp", "id", "rank", F.floor(F.col("rank") / lookback).alias("block"), F.explode(name).alias("m"))
+    for name in ("shingles", "seeds"):
+        flat = fit.select("grp", "id", "rank", F.floor(F.col("rank") / lookback).alias("block"), F.explode(F.transform(name, lambda x: F.xxhash64(x))).alias("m"))
         prior = flat.select("grp", "m", F.col("id").alias("prior"), F.col("rank").alias("prank"), F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"))
         hit = flat.join(prior, ["grp", "m", "block"]).where((F.col("prank") < F.col("rank")) & (F.col("prank") >= F.col("rank") - lookback))
         n = hit.groupBy("id", "prior").agg(F.count(F.lit(1)).alias("n")).select("id", "prior", F.lit(name).alias("of"), "n")
         parts = n if parts is None else parts.unionByName(n)
-    shared = parts.groupBy("id", "prior").agg(*(F.coalesce(F.sum(F.when(F.col("of") == x, F.col("n"))), F.lit(0)).alias(x) for x in ("shingles", "words", "seeds")))
-    sizes = fit.select("id", "rank", *(F.size(x).alias(f"n_{x}") for x in ("shingles", "words", "seeds")))
+    shared = parts.groupBy("id", "prior").agg(*(F.coalesce(F.sum(F.when(F.col("of") == x, F.col("n"))), F.lit(0)).alias(x) for x in ("shingles", "seeds")))
+    sizes = fit.select("id", "words", *(F.size(x).alias(f"n_{x}") for x in ("shingles", "seeds")))
     both = shared.join(sizes, "id").join(sizes.select(*(F.col(c).alias(f"p_{c}") for c in sizes.columns)), F.col("prior") == F.col("p_id"))
     j = lambda x: F.when((F.col(f"n_{x}") == 0) | (F.col(f"p_n_{x}") == 0), 0.0).otherwise(F.col(x) / (F.col(f"n_{x}") + F.col(f"p_n_{x}") - F.col(x)))
-    return both.select("id", "prior", j("shingles").alias("copy"), j("words").alias("text"), j("seeds").alias("seed"), ((F.col("n_seeds") == 0) | (F.col("p_n_seeds") == 0)).alias("blind"))
+    return both.select("id", "prior", j("shingles").alias("copy"), T.jaccard(F.col("words"), F.col("p_words")).alias("text"), j("seeds").alias("seed"), ((F.col("n_seeds") == 0) | (F.col("p_n_seeds") == 0)).alias("blind"))
 
 
 def best_match(pairs: DataFrame) -> DataFrame:
