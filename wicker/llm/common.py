@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes handled at once inside a Python worker; only memory depends on it, never a result.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,11 +36,20 @@ def local_path(uri: str) -> str:
     return uri[len("file:") :].replace("//", "/", 1) if uri.startswith("file:") else uri
 
 
+#: Drops an execution's shuffle files once it has ended; what it wrote is on shared storage by then.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written to shared storage and read back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to shared storage and read back: cuts lineage, survives lost executors and frees the disk of its shuffles."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def texts_of(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +77,7 @@ def cuts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, j
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from .common import arrow_map, cuts, rows_where, sliced, spread, texts_of
 from .segment import LETTERS, PUNCTUATION, Words
 
 #: Most labelled rows of each class that the classifier is fitted on.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 3000
+TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 1500
 #: Word beginnings of these lengths are features, besides whole words.
 BEGINNINGS = range(3, 8)
 FEATURES = 6000
@@ -248,7 +248,7 @@ def fit(texts: list[str], labels: np.ndarray, channel: Channel, rounds: int = 30
     seen: dict[str, int] = {}
     found = []
     whole = pa.array(texts, pa.large_string())
-    for i, j in cuts(whole, 2 << 20):  # slice by slice, as the driver's memory is small
+    for i, j in cuts(whole, 1 << 20):  # slice by slice, as the driver's memory is small
         doc, code, words = restored_words(whole.slice(i, j - i), channel)
         pairs = np.unique(doc * len(words) + code)
         doc, code = pairs // len(words), pairs % len(words)
