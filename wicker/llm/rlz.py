@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,14 +134,15 @@ def owned_windows(docs: DataFrame) -> DataFrame:
     """doc_id and the hashes of the windows that start in no document before it, among those with shared anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        # rows without anchors go here, not in a filter: the join stays the one that the parse reads, and its shuffle is reused
+        for batch in sliced((b.filter(pc.is_valid(b.column(2))) for b in batches), "text"):
             w = Words(*texts_of(batch.column(1)))
             at = np.flatnonzero(candidates(w, listed(batch.column(2))))
             a, b = windows(w, WINDOW, 1)[at].view(np.int64), windows(w, WINDOW, 0)[at].view(np.int64)
             doc = batch.column(0).take(pa.array(np.searchsorted(w.first, at, "right") - 1))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array((b >> 32).astype(np.int32)), doc], ["h", "g", "doc_id"])
 
-    rows = docs.where("anchors IS NOT NULL").mapInArrow(run, "h long, g int, doc_id long")
+    rows = docs.mapInArrow(run, "h long, g int, doc_id long")
     return rows.groupBy("h", "g").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_set("h").alias("owned"))
 
 
@@ -164,7 +166,6 @@ def parsed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] =
     """doc_id, text, anchors, owned of every row, all that its parse needs, and the columns to keep as k0, k1, ..."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
     shared = stored(shared_anchors(rows.select("doc_id", "text")), "anchors")
-    rows.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of the first level go before the second is built
     kept = [f"k{i}" for i in range(len(keep))]
     # both uses of this join read the same columns, so that texts are shuffled once
     both = rows.join(shared.hint("shuffle_merge"), "doc_id", "left").select("doc_id", "text", "anchors", *kept)
