@@ -139,7 +139,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
         low = every[0].as_py()
         yield pa.RecordBatch.from_pylist([{"name": name, "low": low, "n_docs": len(every), "n_tokens": tokens, "width": ids.width}], pa.schema([("name", pa.string()), ("low", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
 
-    ordered = rows.repartitionByRange(parts, "doc_id", "text") if parts > 1 else rows.coalesce(1)
+    ordered = rows.repartitionByRange(parts, "doc_id") if parts > 1 else rows.coalesce(1)
     found = ordered.sortWithinPartitions("doc_id", "text").mapInArrow(run, "name string, low long, n_docs long, n_tokens long, width int").withColumn("part", F.spark_partition_id()).collect()
     bases, token, doc = [], 0, 0
     for r in sorted(found, key=lambda r: r["part"]):  # prefix sums: one row for each partition
