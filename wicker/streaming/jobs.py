@@ -23,8 +23,8 @@ def enqueued(stream: DataFrame, key: str = "dedupe_key", ts: str = "ts", late: s
 
 
 def debounced(stream: DataFrame, ts: str, wanted: Column, gap: str, late: str = "1 minute", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Bursts that a quiet gap has ended, as the batch operator of the same name."""
-    burst = stream.withColumn("_w", wanted.cast("int")).withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n_events"), F.sum("_w").alias("n_wanted"))
+    """Bursts that a quiet gap has ended, as the batch operator of the same name. (Sessions of a stream need a key: a constant where there is none.)"""
+    burst = stream.withColumn("_w", wanted.cast("int")).withColumn("_all", F.lit(0)).withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), "_all", *keys).agg(F.count(F.lit(1)).alias("n_events"), F.sum("_w").alias("n_wanted"))
     return burst.where("n_wanted > 0").select(*keys, F.col("w.start").alias("began"), F.col("w.end").alias("due"), "n_events", "n_wanted")
 
 
