@@ -114,16 +114,16 @@ SHAPE = "CASE WHEN name LIKE '%!_%' ESCAPE '!' THEN 3 WHEN regexp_matches(name,
 
 @query(f"""WITH {SQL_NODES},
 tok AS (SELECT query_id, name, min(i) AS i FROM (SELECT doc_id AS query_id, unnest(ts) AS name, generate_subscripts(ts, 1) AS i FROM (SELECT doc_id, {TOKENS("text || ' ASIA Europe ' || coalesce(lang, '')")} AS ts FROM documents)) GROUP BY 1, 2),
-words AS (SELECT DISTINCT doc_id % 997 AS node_id, unnest({WORDS("text")}) AS name FROM documents WHERE doc_id % 10 = 0),
+words AS (SELECT DISTINCT doc_id AS node_id, unnest({WORDS("text")}) AS name FROM documents),
 cnt AS (SELECT name, min(node_id) AS node_id, count(*) AS n_defs FROM words GROUP BY 1),
 hit AS (SELECT query_id, node_id, n_defs, i, {SHAPE} AS shape, {LOW('name')} IN ({quoted(T.QUERY_STOP)}) AS fallback FROM tok JOIN cnt USING (name)),
 ok AS (SELECT * FROM hit WHERE CASE WHEN fallback THEN n_defs <= 2 ELSE n_defs <= 12 AND (shape > 0 OR n_defs <= 2) END),
 st AS (SELECT *, bool_or(NOT fallback) OVER (PARTITION BY query_id) AS strong FROM ok)
 SELECT query_id, node_id, CAST(shape AS INT) AS shape, CAST(n_defs AS INT) AS n_defs, fallback FROM (SELECT *, row_number() OVER (PARTITION BY query_id, node_id ORDER BY i) AS k FROM st WHERE NOT fallback OR NOT strong) WHERE k = 1""")
 def seeds_from_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents ask; every word of each tenth document names a node."""
+    """Documents ask; every word of a document names it."""
     d = table(spark, sf, "documents")
-    named = d.where("doc_id % 10 = 0").select((F.col("doc_id") % 997).alias("node_id"), F.explode(T.words(F.col("text"))).alias("name")).distinct()
+    named = d.select(F.col("doc_id").alias("node_id"), F.explode(T.words(F.col("text"))).alias("name")).distinct()
     nodes = named.select("node_id", "name", F.lit("function").alias("kind"), F.lit("a").alias("path"))
     asked_ = d.select("doc_id", F.concat("text", F.lit(" ASIA Europe "), F.coalesce("lang", F.lit(""))).alias("text"))
     return retrieve.symbol_seeds(asked_, nodes, "doc_id", "text").select("query_id", "node_id", "shape", "n_defs", "fallback")
