@@ -153,6 +153,44 @@ def test_near_duplicates_default_and_edges(spark):
     assert simhash.near_duplicates(edgy(spark).limit(0)).count() == 0
 
 
+def shingle_set(t):
+    w = [x.lower() for x in words(t)]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def planted(low, high, n, sizes, seed):
+    """n pairs of texts whose similarity is in the range: places of one are changed, or its end is left out, until it is."""
+    own, out = random.Random(seed), []
+    while len(out) < n:
+        base = ["".join(own.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(own.randint(*sizes))]
+        other = list(base)
+        by_cut = len(out) % 3 == 0
+        while jaccard(" ".join(base), " ".join(other)) > high:
+            if by_cut:
+                other.pop()
+            else:
+                other[own.randrange(len(other))] = "changed%d" % own.randrange(10**6)
+        if low <= jaccard(" ".join(base), " ".join(other)):
+            out.append((" ".join(base), " ".join(other)))
+    return out
+
+
+def share_linked(spark, pairs):
+    """Share of the pairs that are linked, all in one table."""
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame(spark, [t for p in pairs for t in p])).collect()}
+    return sum(got[2 * i] == got[2 * i + 1] for i in range(len(pairs))) / len(pairs)
+
+
+@pytest.mark.parametrize(("low", "high", "sizes"), [(0.8, 0.82, (150, 1000)), (0.82, 0.86, (60, 800)), (0.86, 0.9, (60, 800)), (0.8, 0.9, (8, 54))])
+def test_near_duplicates_meet_brute_force_pairs(spark, low, high, sizes):
+    assert share_linked(spark, planted(low, high, 300, sizes, 3)) >= 0.99
+
+
 ODD = ["<|endoftext|>a<|endoftext|>", "  a  b\n\n\tc ", "don't we'll x's 'S", "日本語 テスト 12345", "\n a", "a \nb", "é́ﬁ \U0001f642\nü", "", None, "x" * 3000, "trailing ", "a\n", "ẞ İ ΑΣ a b", "tab\there"]
 
 
