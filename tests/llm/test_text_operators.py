@@ -191,6 +191,13 @@ def test_near_duplicates_meet_brute_force_pairs(spark, low, high, sizes):
     assert share_linked(spark, planted(low, high, 300, sizes, 3)) >= 0.99
 
 
+def test_near_duplicates_keep_texts_below_the_similarity(spark):
+    far = planted(0.6, 0.79, 100, (8, 400), 5)
+    repeated = "a b c d e " * 30
+    far.append((repeated, repeated + " ".join(f"w{i}" for i in range(20))))
+    assert max(jaccard(*p) for p in far) < 0.8 and share_linked(spark, far) == 0
+
+
 ODD = ["<|endoftext|>a<|endoftext|>", "  a  b\n\n\tc ", "don't we'll x's 'S", "日本語 テスト 12345", "\n a", "a \nb", "é́ﬁ \U0001f642\nü", "", None, "x" * 3000, "trailing ", "a\n", "ẞ İ ΑΣ a b", "tab\there"]
 
 

@@ -19,7 +19,9 @@ ids get a fingerprint and no component. Only the named columns are read.
 number of equal bytes is guaranteed; it is only sure enough. So a text has 64 bytes over its distinct shingles, of which 17
 (sigma 3.5) are equal at 0.8, in 11 groups of positions; a pair is missed only if no group has two equal bytes, which has a
 probability of about 0.0006 at 0.8 and less above. The bits of short texts are too coarse for this: those of at most SHORT
-shingles are also listed by their smallest shingles, one of which any two that are similar share for sure.
+shingles are also listed by their smallest shingles, one of which any two that are similar share for sure. Every candidate
+pair becomes a link only by the exact similarity (common to all distinct shingles) of its two sets. Texts with one set are one
+class; two texts without any word are alike.
 """
 
 from __future__ import annotations
@@ -322,6 +324,25 @@ def candidates(classes: DataFrame, words: int, least: int, part: int) -> DataFra
     return posted.repartition("key").sortWithinPartitions("key").mapInArrow(match, "a long, b long").distinct()
 
 
+def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs whose sets of distinct shingles are at least so similar; reps names a document for each signature."""
+    need = stored(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(reps, "sig"), "need")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h, first = distinct_shingles(*texts_of(batch.column(1)), width)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(signatures(h, first).view(np.int64)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))], ["rep", "sig", "h"])
+
+    named = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("_t")).join(need.select("rep").distinct(), "rep", "left_semi")
+    sets = arrow_map(named, ["rep", "_t"], run, f"rep {dict(docs.dtypes)[id_col]}, sig long, h array<long>", "_t")
+    sets = stored(sets.join(need, ["rep", "sig"], "left_semi").drop("rep").dropDuplicates(["sig"]), "sets")
+    sizes = sets.select("sig", F.size("h").alias("n"))
+    n, m = sizes.withColumnsRenamed({"sig": "a", "n": "n"}), sizes.withColumnsRenamed({"sig": "b", "n": "m"})
+    likely = pairs.join(n, "a").join(m, "b").where(F.least("n", "m") + 1e-9 >= similarity * F.greatest("n", "m"))
+    both = likely.join(sets.withColumnsRenamed({"sig": "a", "h": "ha"}), "a").join(sets.withColumnsRenamed({"sig": "b", "h": "hb"}), "b")
+    common = F.size(F.array_intersect("ha", "hb"))
+    return both.where(common + 1e-9 >= similarity * (F.col("n") + F.col("m") - common)).select("a", "b")
+
+
 def similar(docs: DataFrame, width: int, words: int, least: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """doc_id, f0, ... and component_id of every row; a link is a pair of texts that are similar by their shingle sets."""
     names = [f"f{w}" for w in range(words)]
@@ -329,8 +350,8 @@ def similar(docs: DataFrame, width: int, words: int, least: int, similarity: flo
     classes = stored(prints.groupBy("sig").agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in [*names, "lead"])), "classes")
     known = classes.where("rep IS NOT NULL")
     met = [stored(candidates(known, words, least, part), "candidates") for part in range(PARTS)]
-    pairs = reduce(DataFrame.unionByName, met).distinct()
     reps = known.select("sig", "rep")
+    pairs = stored(verified(docs, stored(reduce(DataFrame.unionByName, met).distinct(), "met"), reps, width, similarity, id_col, text_col), "pairs")
     ends = pairs.join(reps.select(F.col("sig").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("sig").alias("b"), F.col("rep").alias("y")), "b")
     roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
     named = reps.join(roots, reps["rep"] == roots["node"], "left").select("sig", F.coalesce("root", "rep").alias("component_id"))
