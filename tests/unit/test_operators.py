@@ -182,3 +182,35 @@ def test_graph_small(spark):
     assert graph.shortest_path(e, 0, 4, 1).count() == 0 and graph.flow(e, 3, 1).first()["reversed"]
     assert cochange.reusable(10, 15) and not cochange.reusable(10, 16) and not cochange.reusable(None, 0)
     assert retrieve.max_seeds(25) == 8 and retrieve.max_seeds(3) == 4 and retrieve.max_seeds(999) == 32
+
+
+def test_clustered_null_equals_a_direct_shuffle(spark):
+    import math
+    import random
+
+    from wicker.operators import evaluate
+
+    def z_of(rows):
+        n, k = len(rows), sum(ok for _, _, ok in rows)
+        p, mid = k / n, sum(x for _, x, _ in rows) / n
+        return sum((x - mid) * (ok - p) for _, x, ok in rows) / math.sqrt(p * (1 - p) * sum((x - mid) ** 2 for _, x, _ in rows))
+
+    own = random.Random(4)
+    rows = [("a", own.choice([2, 3, 3]), own.random() < 0.85) for _ in range(60)] + [("b", own.choice([0, 1, 2]), own.random() < 0.3) for _ in range(60)] + [("c", 1, True)] * 3
+    z, null = z_of(rows), []
+    for _ in range(4000):
+        mixed = []
+        for s in "abc":
+            g = [r for r in rows if r[0] == s]
+            levels = own.sample([x for _, x, _ in g], len(g))
+            mixed += [(s, x, ok) for x, (_, _, ok) in zip(levels, g)]
+        null.append(z_of(mixed))
+    mean = sum(null) / 4000
+    sd = math.sqrt(sum((x - mean) ** 2 for x in null) / 3999)
+    p = (sum(x >= z - 1e-9 for x in null) + 1) / 4001
+    got = evaluate.clustered_null(spark.createDataFrame(rows, "stratum string, level int, ok boolean")).first()
+    assert mean > 2 and abs(got["z"] - z) < 1e-5 and got["informative"] == 2
+    assert abs(got["mean"] - mean) < 0.1 and abs(got["sd"] - sd) < 0.06 and abs(got["p"] - p) < 0.05
+    assert abs(got["p"] * 4001 - round(got["p"] * 4001)) < 1e-6
+    flat = evaluate.clustered_null(spark.createDataFrame([("a", 1, True), ("b", 2, False), ("c", 3, True)], "stratum string, level int, ok boolean")).first()
+    assert (flat["mean"], flat["sd"], flat["p"], flat["informative"]) == (0, 0, 1, 0)

@@ -76,33 +76,44 @@ def sign_test(moved: DataFrame) -> DataFrame:
     return s.withColumn("p", F.round(F.when(n > 0, F.least(2 * tail, F.lit(1.0))).otherwise(1.0), 6))
 
 
-def clustered_null(rows: DataFrame, replicates: int = 400, seed: int = 1) -> DataFrame:
-    """One row (z, p): the trend's p when outcomes are shuffled within strata. rows(stratum, level, ok).
+def clustered_null(rows: DataFrame, replicates: int = 4000, seed: int = 1) -> DataFrame:
+    """One row (z, mean, sd, p, informative): the trend against a null of outcomes shuffled within strata. rows(stratum, level, ok).
 
+    mean and sd are the null's, p is the share of replicates whose z is no less than the trend's (one-sided: the null needn't
+    be centred at 0), informative the strata of more than one level; without any, mean and sd are 0 and p is 1.
     The null only needs counts by stratum and level: a shuffle within a stratum deals its confirmed rows over its levels by
     the multivariate hypergeometric law. Replicates are dealt over tasks; a stratum is a row of counts, not its rows.
     """
-    spark = rows.sparkSession
     counts = rows.groupBy("stratum", "level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ok").cast("long")).alias("k"))
-    strata = counts.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("level", "n"))).alias("levels"), F.sum("k").alias("k"))
-    jobs = strata.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    level, n, k = F.col("level").cast("double"), F.col("n").cast("double"), F.col("k").cast("double")
+    t = counts.agg(F.countDistinct("level").alias("levels"), F.sum(n).alias("n"), F.sum(k).alias("k"), F.sum(level * k).alias("tk"), F.sum(level * n).alias("tn"), F.sum(level * level * n).alias("ttn"))
+    p = F.col("k") / F.col("n")
+    var = p * (1 - p) * (F.col("ttn") - F.col("tn") * F.col("tn") / F.col("n"))
+    t = t.select("tk", (p * F.col("tn")).alias("centre"), F.when((F.col("levels") >= 3) & (var > 0), F.sqrt(var)).alias("scale"))
+    z = F.coalesce((F.col("tk") - F.col("centre")) / F.col("scale"), F.lit(0.0))
+    strata = counts.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct(level.alias("level"), "n"))).alias("levels"), F.sum("k").alias("k"))
+    told = t.select(z.alias("z"), "centre", "scale").join(strata.agg(F.count_if(F.size("levels") > 1).alias("informative")))
+    step = 100
+    jobs = strata.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(step)))).repartition("stratum", "r")
 
     def draw(batches):
         for pdf in batches:
-            out = []
+            out = [pd.DataFrame({"r": np.zeros(0, np.int32), "tk": np.zeros(0)})]
             for s, levels, k, r in zip(pdf["stratum"], pdf["levels"], pdf["k"], pdf["r"]):
                 rng = np.random.default_rng([seed, int(r), abs(hash_of(str(s)))])
-                n = [int(x["n"]) for x in levels]
-                out += [(int(r), float(x["level"]), m, int(h)) for x, m, h in zip(levels, n, rng.multivariate_hypergeometric(n, int(k)))]
-            yield pd.DataFrame(out, columns=["r", "level", "n", "k"])
-
-    drawn = jobs.mapInPandas(draw, "r int, level double, n long, k long").groupBy("r", "level").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    s = drawn.groupBy("r").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("level") * F.col("k")).alias("tk"), F.sum(F.col("level") * F.col("n")).alias("tn"), F.sum(F.col("level") * F.col("level") * F.col("n")).alias("ttn"))
-    p = F.col("k") / F.col("n")
-    var = p * (1 - p) * (F.col("ttn") - F.col("tn") * F.col("tn") / F.col("n"))
-    z = s.select(F.when(var > 0, (F.col("tk") - p * F.col("tn")) / F.sqrt(var)).otherwise(0.0).alias("zr"))
-    real = trend(rows).select("z")
-    return z.join(F.broadcast(real)).groupBy("z").agg(((F.count_if(F.abs("zr") >= F.abs("z")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+                m = min(step, replicates - int(r))
+                dealt = rng.multivariate_hypergeometric([int(x["n"]) for x in levels], int(k), size=m)
+                out.append(pd.DataFrame({"r": np.arange(r, r + m, dtype=np.int32), "tk": dealt @ np.array([float(x["level"]) for x in levels])}))
+            yield pd.concat(out)
+
+    drawn = jobs.mapInPandas(draw, "r int, tk double").groupBy("r").agg(F.sum("tk").alias("tk"))
+    null = drawn.join(F.broadcast(told)).select(z.alias("zr"), F.col("z").alias("z_obs"))
+    drawn = null.agg(F.avg("zr").alias("mean"), F.stddev_samp("zr").alias("sd"), F.count_if(F.col("zr") >= F.col("z_obs") - 1e-9).alias("hits"), F.count(F.lit(1)).alias("drawn"))
+    some = F.col("informative") > 0
+    return told.join(drawn).select(
+        F.round("z", 6).alias("z"), F.when(some, F.col("mean")).otherwise(0.0).alias("mean"), F.when(some, F.coalesce("sd", F.lit(0.0))).otherwise(0.0).alias("sd"),
+        F.when(some, (F.col("hits") + 1) / (F.col("drawn") + 1)).otherwise(1.0).alias("p"), "informative",
+    )
 
 
 def hash_of(s: str) -> int:
