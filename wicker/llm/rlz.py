@@ -1,4 +1,8 @@
-"""Substring dedup by relative Lempel-Ziv parsing over an index of all documents.
+"""Substring dedup by hashed 13-word windows over an index of all documents, in place of a relative Lempel-Ziv parse.
+
+The greedy factorisation isn't built: a factor here has no reference block and no position, it is a run of places whose
+window occurs in some earlier document, and its windows may come from several. A greedy parse needs every document to meet
+suffix structures of every block, which is quadratic; for which words are removed, membership of the windows is enough.
 
 Every document is a reference block for the ones with larger ids. The index has two levels, both partitioned by hash, so
 that no document meets a block with which it shares nothing:
@@ -9,7 +13,7 @@ that no document meets a block with which it shares nothing:
 * windows: for those left, the rolling hashes (128 bits) of the 13 words, with the smallest id of a document in which the
   sequence starts (again pre-aggregated); the owner keeps its windows.
 
-A document's greedy parse then walks its windows: wherever the 13 words from a place on are in an earlier block, a factor
+What is called the parse below then walks a document's windows: wherever the 13 words from a place on are in an earlier block, a factor
 begins and goes on for as long as the next place's are too; it spans 12 words more than its places. All other words are
 literals. Factors are judged at every place, so windows that straddle the border between two factors (of other blocks,
 even) are found as well, and a factor may overlap the one before it. All factors are 13 words or longer, hence duplicate
