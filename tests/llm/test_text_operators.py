@@ -68,12 +68,56 @@ def test_substrings_match_brute_force(spark):
     got = {r[0]: tuple(r[1:]) for r in rlz.digests(frame(spark, docs)).collect()}
     want = brute_substrings(dict(enumerate(docs)))
     assert got == want and sum(v[1] for v in want.values()) > 100
-    spans = rlz.spans(frame(spark, docs)).collect()
-    covered = {}
-    for d, a, n in spans:
-        assert n >= 13
-        covered.setdefault(d, set()).update(range(a, a + n))
-    assert {d: len(s) for d, s in covered.items()} == {d: v[1] for d, v in want.items() if v[1]}
+
+
+def brute_parse(docs):
+    """Greedy factors against the first places of all windows, document by document."""
+    first, out = {}, set()
+    for i, t in sorted(docs.items()):
+        w = words(t)
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), (i, k))
+    for i, t in docs.items():
+        w, k = words(t), 0
+        entry = lambda x: first[tuple(w[x : x + 13])] if 0 <= x <= len(w) - 13 and first[tuple(w[x : x + 13])][0] < i else None  # noqa: B023, E731
+        while k <= len(w) - 13:
+            if not entry(k):
+                k += 1
+                continue
+            (source, at), n = entry(k), 1
+            while entry(k + n) == (source, at + n):
+                n += 1
+            out.add((i, k, n + 12, source, at))
+            k += n
+    return out
+
+
+def test_factors_match_a_greedy_parse_and_hold_their_sources_words(spark):
+    docs = corpus()
+    docs[40] = docs[9] + " " + docs[12] + " between " + docs[9]  # factors of several sources, with borders between them
+    got = rlz.factors(frame(spark, docs)).collect()
+    assert set(map(tuple, got)) == brute_parse(dict(enumerate(docs))) and len(got) == len(set(got)) > 8
+    for doc, a, n, source, b in got:
+        assert n >= 13 and source < doc and words(docs[doc])[a : a + n] == words(docs[source])[b : b + n]
+
+
+def thue_morse(n, swap):
+    return "".join("ab"[bin(i).count("1") % 2 ^ swap] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_polynomial_hashes_confuse_stay_apart(spark, n):
+    tail = " one two three four five six seven eight nine ten eleven twelve"
+    docs = [thue_morse(n, 0) + tail, thue_morse(n, 1) + tail, thue_morse(n, 0) + tail]
+    assert [r["n_removed"] for r in rlz.digests(frame(spark, docs)).orderBy("doc_id").collect()] == [0, 0, 13]
+
+
+def test_substrings_of_string_ids_and_repeated_rows(spark):
+    base = " ".join(f"w{i}" for i in range(30))
+    rows = [("a", base), ("b", base + " x"), ("b", "other " + base), ("b", base + " x"), ("c", "w1 w2 w3")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted((r[0], r[1], r[2]) for r in rlz.digests(df).collect()) == [("a", 30, 0), ("b", 31, 30), ("b", 31, 30), ("b", 31, 30), ("c", 3, 0)]
+    assert sorted(map(tuple, rlz.factors(df).collect())) == [("b", 0, 30, "a", 0), ("b", 0, 30, "a", 0), ("b", 1, 30, "a", 0)]
 
 
 def test_substrings_keep_columns_and_edges(spark):

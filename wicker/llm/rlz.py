@@ -1,27 +1,28 @@
-"""Substring dedup by hashed 13-word windows over an index of all documents, in place of a relative Lempel-Ziv parse.
+"""Substring dedup by relative Lempel-Ziv parsing of every document against all documents before it.
 
-The greedy factorisation isn't built: a factor here has no reference block and no position, it is a run of places whose
-window occurs in some earlier document, and its windows may come from several. A greedy parse needs every document to meet
-suffix structures of every block, which is quadratic; for which words are removed, membership of the windows is enough.
-
-Every document is a reference block for the ones with larger ids. The index has two levels, both partitioned by hash, so
-that no document meets a block with which it shares nothing:
+The reference holds each 13-word sequence once, at its first place: the smallest doc_id, and there the first word. Every
+document is a reference block of those after it; blocks are met through an index partitioned by hash, so that no document
+meets a block with which it shares nothing:
 
 * anchors: of every 13 consecutive words, the 5-word gram with the smallest hash (leftmost of equals). Equal windows have
-  equal anchors, so a window can only repeat if its anchor occurs in two documents. Anchors are counted (pre-aggregated in
-  each task); those in one document alone go no further.
-* windows: for those left, the rolling hashes (128 bits) of the 13 words, with the smallest id of a document in which the
-  sequence starts (again pre-aggregated); the owner keeps its windows.
-
-What is called the parse below then walks a document's windows: wherever the 13 words from a place on are in an earlier block, a factor
-begins and goes on for as long as the next place's are too; it spans 12 words more than its places. All other words are
-literals. Factors are judged at every place, so windows that straddle the border between two factors (of other blocks,
-even) are found as well, and a factor may overlap the one before it. All factors are 13 words or longer, hence duplicate
-spans; their words are removed. Parsing uses the input alone, not what is left of it.
-
-Defined results: null and empty texts have 0 words and the SHA-256 of the empty string; texts of fewer than 13 words stay
-whole; rows with the same id don't count as copies of each other; rows with a null id stay whole and remove nothing;
-repeated rows are kept row by row; extra columns are ignored; an empty table gives an empty result.
+  equal anchors, so a window can only repeat if its anchor occurs in two rows. Anchors are counted (pre-aggregated in each
+  task); those of one row alone go no further. A hash that two grams share costs work, never a result.
+* windows: those left are known by 96 bits of the BLAKE2b digest of their words (one space between them), so that equal keys
+  mean equal words and no construction of words or word sequences can make others meet. The index has the first
+  place (doc_id, word) of every window that repeats, by a pre-aggregated minimum.
+
+The parse reads the index at every place of a document. From a place with an entry (source document, source word) a factor
+goes on greedily for as long as the next places' entries are the next words of the same source; it spans 12 words
+more than its places. At a factor's end, the windows over its boundary are looked up like any other: the first that has an
+entry begins the next factor, which then overlaps the last, else the parse goes on behind it. Words without a factor
+are literals. All factors are 13 words or longer, hence duplicate spans; their words are removed. The parse reads
+the input alone, not what is left of it. A window that half of all documents share has as many rows in the join with its one
+entry; the entry side is one row a key, so that AQE may split the other.
+
+Defined results: ids are of any type that can be ordered; null and empty texts have 0 words and the SHA-256 of the empty
+string; texts of fewer than 13 words stay whole; rows with the same id don't count as copies of each other; rows with a null
+id stay whole and remove nothing; repeated rows are kept row by row; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -31,19 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import sliced, stored, texts_of
-from .segment import Words
+from .segment import Words, spaced
+from .xxh import xxh64
 
 WINDOW, GRAM = 13, 5
-_rng = np.random.default_rng(20240607)
-BYTE = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
-BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
-STEP = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
+STEP = np.uint64(0xA0761D6478BD642F)
+#: A row is known by its id and its text's hash: rows that share an id are parsed apart.
+KEY = ["doc_id", "sig"]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -52,37 +52,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(r: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, r, np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out)
-
-
-def rolled(values: np.ndarray, begin: np.ndarray, end: np.ndarray, r: np.uint64) -> np.ndarray:
-    """Polynomial hash modulo 2^64 of values[begin:end] for every pair: equal ranges have equal hashes wherever they stand."""
-    back = np.uint64(pow(int(r), -1, 1 << 64))
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(r, len(values)), out=total[1:])
-    return (total[end] - total[begin]) * powers(back, len(values) + 1)[begin]
-
-
-def word_hashes(w: Words, which: int) -> np.ndarray:
-    size = np.diff(w.offsets).astype(np.uint64)
-    return mixed(rolled(BYTE[which][w.data], w.offsets[:-1], w.offsets[1:], BASE[which]) + size * STEP[which])
-
-
-def windows(w: Words, n: int, which: int) -> np.ndarray:
-    """Hash of the n words from each place on; places where a document has fewer left mean nothing."""
-    h = word_hashes(w, which)
-    at = np.arange(len(h))
-    return mixed(rolled(h, at, np.minimum(at + n, len(h)), STEP[which]))
+def grams(w: Words) -> np.ndarray:
+    """Hash of the GRAM words from each place on; places where the batch has fewer left mean nothing."""
+    codes, distinct = w.distinct()
+    data, offsets = texts_of(distinct)
+    h = xxh64(np.append(data, np.zeros(8, np.uint8)), offsets[:-1], offsets[1:])[codes] if len(codes) else np.zeros(0, np.uint64)
+    out = h.copy()
+    with np.errstate(over="ignore"):
+        for k in range(1, GRAM):
+            out[: len(h) - k] = out[: len(h) - k] * STEP + h[k:]
+    return mixed(out).view(np.int64)
 
 
 def anchors(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """For each place of a document's windows: whether 13 words start there, and the hash of the window's anchor."""
     n = len(w)
-    g = windows(w, GRAM, 0).view(np.int64)
+    g = grams(w)
     left = w.first[1:][np.repeat(np.arange(len(w.counts)), w.counts)] - np.arange(n)
     some = left >= WINDOW
     if not some.any():
@@ -110,88 +95,84 @@ def candidates(w: Words, lists: pa.Array) -> np.ndarray:
     return out
 
 
-def listed(column: pa.Array) -> pa.Array:
-    """Lists without nulls."""
-    return column if not column.null_count else pa.array(column.to_pylist(), column.type).fill_null(pa.scalar([], column.type))
+def digested(w: Words, at: np.ndarray) -> np.ndarray:
+    """Keys (h, g) of the windows at the given places."""
+    flat, start, end = spaced(w)
+    raw, new = flat.tobytes(), hashlib.blake2b
+    keys = b"".join([new(raw[a:b], digest_size=12).digest() for a, b in zip(start[at].tolist(), end[at + WINDOW - 1].tolist())])
+    return np.frombuffer(keys, [("h", "<i8"), ("g", "<i4")])
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, sig, text, and the columns to keep as k0, k1, ..."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("sig"), F.col(text_col).alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
 
 
-def shared_anchors(docs: DataFrame) -> DataFrame:
-    """doc_id and the anchors that it shares with other documents."""
+def shared_anchors(rows: DataFrame) -> DataFrame:
+    """Each row's key and the anchors that it shares with others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            w = Words(*texts_of(batch.column(1)))
+            w = Words(*texts_of(batch.column(2)))
             some, anchor = anchors(w)
             doc = np.repeat(np.arange(batch.num_rows), w.counts)[some]
             anchor = anchor[some]
             order = np.lexsort((anchor, doc))
             doc, anchor = doc[order], anchor[order]
             new = np.append(True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]))[: len(doc)]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[new]), batch.column(0).take(pa.array(doc[new]))], ["anchor", "doc_id"])
-
-    rows = docs.where("doc_id IS NOT NULL").mapInArrow(run, "anchor long, doc_id long")
-    several = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    return rows.join(several, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-
+            own = pa.array(doc[new])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[new]), batch.column(0).take(own), batch.column(1).take(own)], ["anchor", *KEY])
 
-def owned_windows(docs: DataFrame) -> DataFrame:
-    """doc_id and the hashes of the windows that start in no document before it, among those with shared anchors."""
+    found = rows.mapInArrow(run, f"anchor long, doc_id {dict(rows.dtypes)['doc_id']}, sig long")
+    several = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    return found.join(several, "anchor", "left_semi").groupBy(*KEY).agg(F.collect_set("anchor").alias("anchors"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows without anchors go here, not in a filter: the join stays the one that the parse reads, and its shuffle is reused
-        for batch in sliced((b.filter(pc.is_valid(b.column(2))) for b in batches), "text"):
-            w = Words(*texts_of(batch.column(1)))
-            at = np.flatnonzero(candidates(w, listed(batch.column(2))))
-            a, b = windows(w, WINDOW, 1)[at].view(np.int64), windows(w, WINDOW, 0)[at].view(np.int64)
-            doc = batch.column(0).take(pa.array(np.searchsorted(w.first, at, "right") - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array((b >> 32).astype(np.int32)), doc], ["h", "g", "doc_id"])
-
-    rows = docs.mapInArrow(run, "h long, g int, doc_id long")
-    return rows.groupBy("h", "g").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_set("h").alias("owned"))
-
-
-def factors(w: Words, lists: pa.Array, owned: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The parse: document, first word and words of every factor."""
-    copied = candidates(w, lists)
-    h = windows(w, WINDOW, 1).view(np.int64)
-    ends = np.append(0, np.cumsum(np.diff(np.asarray(owned.offsets))))
-    values = owned.flatten().to_numpy()
-    for d in np.flatnonzero(np.diff(ends)):
-        own = slice(w.first[d], w.first[d + 1])
-        copied[own] &= ~member(h[own], values[ends[d] : ends[d + 1]])
-    doc = np.repeat(np.arange(len(w.counts)), w.counts)
-    before = np.append(False, copied[:-1] & (doc[:-1] == doc[1:]))[: len(copied)]
-    after = np.append(copied[1:] & (doc[:-1] == doc[1:]), False)[: len(copied)]
-    begin, last = np.flatnonzero(copied & ~before), np.flatnonzero(copied & ~after)
-    return doc[begin], begin, last - begin + WINDOW
-
-
-def parsed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, anchors, owned of every row, all that its parse needs, and the columns to keep as k0, k1, ..."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
-    shared = stored(shared_anchors(rows.select("doc_id", "text")), "anchors")
-    kept = [f"k{i}" for i in range(len(keep))]
-    # both uses of this join read the same columns, so that texts are shuffled once
-    both = rows.join(shared.hint("shuffle_merge"), "doc_id", "left").select("doc_id", "text", "anchors", *kept)
-    return both.join(owned_windows(both).hint("shuffle_merge"), "doc_id", "left").select("doc_id", "text", "anchors", "owned", *kept)
 
-
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Duplicate spans: doc_id, first_word and n_words of every factor."""
+def windows(rows: DataFrame) -> DataFrame:
+    """h, g, doc_id, sig and place of every window that may repeat; rows has doc_id, sig, text and anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            w = Words(*texts_of(batch.column(1)))
-            doc, begin, size = factors(w, listed(batch.column(2)), listed(batch.column(3)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(begin - w.first[doc]), pa.array(size)], ["doc_id", "first_word", "n_words"])
-
-    return parsed(docs, id_col, text_col).mapInArrow(run, "doc_id long, first_word long, n_words long")
+            w = Words(*texts_of(batch.column(2)))
+            at = np.flatnonzero(candidates(w, batch.column(3)))
+            keys = digested(w, at)
+            doc = np.searchsorted(w.first, at, "right") - 1
+            own = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(keys["h"]), pa.array(keys["g"]), batch.column(0).take(own), batch.column(1).take(own), pa.array((at - w.first[doc]).astype(np.int32))], ["h", "g", *KEY, "place"])
+
+    return rows.mapInArrow(run, f"h long, g int, doc_id {dict(rows.dtypes)['doc_id']}, sig long, place int")
+
+
+def factored(rows: DataFrame) -> DataFrame:
+    """doc_id, sig and the factors - first_word, n_words, source, source_word - of every row that has any, by place."""
+    named = rows.where("doc_id IS NOT NULL").select(*KEY, "text")
+    shared = stored(shared_anchors(named), "anchors")
+    found = stored(windows(named.join(shared, KEY).select(*KEY, "text", "anchors")), "windows")
+    first = found.groupBy("h", "g").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    index = stored(first.select("h", "g", F.col("first.doc_id").alias("source"), F.col("first.place").alias("at")), "index")
+    read = found.join(index, ["h", "g"]).where("source < doc_id").select(*KEY, "place", "source", "at")
+    # a factor is a run of places whose entries are a run of one source's words: both counters go up by one
+    diagonal = [*KEY, "source", F.col("at") - F.col("place")]
+    order = F.dense_rank().over(Window.partitionBy(*diagonal).orderBy("place"))  # a repeated row has every place twice
+    runs = read.repartition(*KEY).withColumn("run", F.col("place") - order)
+    factors = runs.groupBy(*KEY, "source", (F.col("at") - F.col("place")).alias("shift"), "run").agg(F.min("place").alias("first_word"), (F.max("place") - F.min("place") + WINDOW).alias("n_words"))
+    one = F.struct("first_word", "n_words", "source", (F.col("first_word") + F.col("shift")).alias("source_word"))
+    return factors.groupBy(*KEY).agg(F.sort_array(F.collect_list(one)).alias("factors"))
+
+
+def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The parse's factors of 13 words or more: doc_id, first_word, n_words, and source and source_word where the same words stand first."""
+    found = factored(keyed(docs, id_col, text_col))
+    rows = keyed(docs, id_col, text_col).select(*KEY).join(found, KEY)  # a repeated row has its factors again
+    return rows.select("doc_id", F.explode("factors").alias("f")).select("doc_id", "f.*")
 
 
 def kept_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Words and removed words of each row, and the words that stay, one space between them."""
-    w = Words(*texts_of(batch.column(1)))
-    doc, begin, size = factors(w, listed(batch.column(2)), listed(batch.column(3)))
+    """Words and removed words of each row, and the words that stay, one space between them; columns 0-2 are text, first_words and n_words."""
+    w = Words(*texts_of(batch.column(0)))
+    begin, size = (batch.column(i).flatten().to_numpy().astype(np.int64) for i in (1, 2))
+    per = batch.column(1).value_lengths().fill_null(0).to_numpy()
+    begin = begin + np.repeat(w.first[:-1], per)
     mark = np.zeros(len(w) + 1, np.int64)
     np.add.at(mark, begin, 1)
     np.add.at(mark, begin + size, -1)
@@ -206,15 +187,21 @@ def kept_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[byte
     return w.counts, w.counts - np.diff(stay), texts
 
 
+def parsed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """text, first_words, n_words (null without factors), doc_id of every row, and the columns to keep as k0, k1, ..."""
+    found = stored(factored(keyed(docs, id_col, text_col)), "factors").select(*KEY, F.col("factors.first_word").alias("first_words"), F.col("factors.n_words").alias("n_words"))
+    return keyed(docs, id_col, text_col, keep).join(found, KEY, "left").select("text", "first_words", "n_words", "doc_id", *(f"k{i}" for i in range(len(keep))))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             n, gone, texts = kept_words(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts])], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return parsed(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return parsed(docs, id_col, text_col).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,10 +212,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             _, gone, texts = kept_words(batch)
-            old = batch.column(1)
+            old = batch.column(0)
             new = [x.decode("utf-8", "replace") if g else old[i].as_py() for i, (g, x) in enumerate(zip(gone, texts))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), *batch.columns[4:]], ["doc_id", "text", *(f"k{i}" for i in range(len(keep)))])
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), *batch.columns[3:]], ["text", "doc_id", *(f"k{i}" for i in range(len(keep)))])
 
-    out = parsed(docs, id_col, text_col, keep).mapInArrow(run, ", ".join(["doc_id long, text string", *(f"k{i} {kinds[c]}" for i, c in enumerate(keep))]))
+    out = parsed(docs, id_col, text_col, keep).mapInArrow(run, ", ".join([f"text string, doc_id {kinds[id_col]}", *(f"k{i} {kinds[c]}" for i, c in enumerate(keep))]))
     names = {id_col: "doc_id", text_col: "text"} | {c: f"k{i}" for i, c in enumerate(keep)}
-    return out.select(*(F.col(names[c]).cast(kinds[c]).alias(c) for c in docs.columns))
+    return out.select(*(F.col(names[c]).alias(c) for c in docs.columns))

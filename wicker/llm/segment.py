@@ -48,12 +48,17 @@ class Words:
 def joined(data: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words set apart by one space: bytes, start and end of each word, and first word of each document (one more than documents)."""
     w = Words(data, docs)
+    return *spaced(w), w.first
+
+
+def spaced(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words set apart by one space (and 32 spare bytes behind them): bytes, start and end of each."""
     size = np.diff(w.offsets)
     n = len(w)
     start = w.offsets[:-1] + np.arange(n)
     out = np.full(len(w.data) + n + 32, 32, np.uint8)
     out[np.arange(len(w.data)) + np.repeat(np.arange(n), size)] = w.data
-    return out, start, start + size, w.first
+    return out, start, start + size
 
 
 def core_and_tail(words: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
