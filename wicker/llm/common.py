@@ -49,7 +49,24 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_in = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the folders of stored tables that nothing reads any more, so that shared storage holds what is still needed only."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_in).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def integers(df: DataFrame, column: str) -> None:
+    """Refuses ids that aren't integers: results name the smallest of them as a number."""
+    kind = dict(df.dtypes)[column]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{column} has type {kind}; integer ids are needed here")
 
 
 def texts_of(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

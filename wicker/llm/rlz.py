@@ -36,14 +36,14 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, stored, texts_of
+from .common import discard, sliced, stored, texts_of
 from .segment import Words, spaced
 from .xxh import xxh64
 
 WINDOW, GRAM = 13, 5
 STEP = np.uint64(0xA0761D6478BD642F)
-#: A row is known by its id and its text's hash: rows that share an id are parsed apart.
-KEY = ["doc_id", "sig"]
+#: What a row is known by: its id and, where rows share one, its text's hash, so that they are parsed apart.
+KEY = ["doc_id", "turn"]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -104,8 +104,12 @@ def digested(w: Words, at: np.ndarray) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, sig, text, and the columns to keep as k0, k1, ..."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("sig"), F.col(text_col).alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
+    """doc_id, turn, text, and the columns to keep as k0, k1, ...; turn tells rows of one id apart by their texts' hashes, and is 0 for other rows."""
+    ids = docs.select(F.col(id_col).alias("doc_id"))
+    again = stored(ids.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again")), "again")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
+    turn = F.when(F.col("doc_id").isNull() | F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return rows.join(again, "doc_id", "left").select("doc_id", turn.alias("turn"), "text", *(f"k{i}" for i in range(len(keep))))
 
 
 def shared_anchors(rows: DataFrame) -> DataFrame:
@@ -123,13 +127,13 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
             own = pa.array(doc[new])
             yield pa.RecordBatch.from_arrays([pa.array(anchor[new]), batch.column(0).take(own), batch.column(1).take(own)], ["anchor", *KEY])
 
-    found = rows.mapInArrow(run, f"anchor long, doc_id {dict(rows.dtypes)['doc_id']}, sig long")
+    found = rows.mapInArrow(run, f"anchor long, doc_id {dict(rows.dtypes)['doc_id']}, turn long")
     several = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     return found.join(several, "anchor", "left_semi").groupBy(*KEY).agg(F.collect_set("anchor").alias("anchors"))
 
 
 def windows(rows: DataFrame) -> DataFrame:
-    """h, g, doc_id, sig and place of every window that may repeat; rows has doc_id, sig, text and anchors."""
+    """h, g, doc_id, turn and place of every window that may repeat; a place is negative (~place) where the row has the window before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -137,34 +141,43 @@ def windows(rows: DataFrame) -> DataFrame:
             at = np.flatnonzero(candidates(w, batch.column(3)))
             keys = digested(w, at)
             doc = np.searchsorted(w.first, at, "right") - 1
+            h, g, place = keys["h"], keys["g"], (at - w.first[doc]).astype(np.int32)
+            order = np.lexsort((g, h, doc))
+            same = np.append(False, (doc[order][1:] == doc[order][:-1]) & (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1]))[: len(order)]
+            place[order[same]] = ~place[order[same]]
             own = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(keys["h"]), pa.array(keys["g"]), batch.column(0).take(own), batch.column(1).take(own), pa.array((at - w.first[doc]).astype(np.int32))], ["h", "g", *KEY, "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), batch.column(0).take(own), batch.column(1).take(own), pa.array(place)], ["h", "g", *KEY, "place"])
 
-    return rows.mapInArrow(run, f"h long, g int, doc_id {dict(rows.dtypes)['doc_id']}, sig long, place int")
+    return rows.mapInArrow(run, f"h long, g int, doc_id {dict(rows.dtypes)['doc_id']}, turn long, place int")
 
 
 def factored(rows: DataFrame) -> DataFrame:
-    """doc_id, sig and the factors - first_word, n_words, source, source_word - of every row that has any, by place."""
+    """doc_id, turn and the factors - first_word, n_words, source, source_word - of every row that has any, by place; written."""
     named = rows.where("doc_id IS NOT NULL").select(*KEY, "text")
     shared = stored(shared_anchors(named), "anchors")
     found = stored(windows(named.join(shared, KEY).select(*KEY, "text", "anchors")), "windows")
-    first = found.groupBy("h", "g").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    index = stored(first.select("h", "g", F.col("first.doc_id").alias("source"), F.col("first.place").alias("at")), "index")
-    read = found.join(index, ["h", "g"]).where("source < doc_id").select(*KEY, "place", "source", "at")
+    discard(shared)
+    first = found.where("place >= 0").groupBy("h", "g").agg(F.min("doc_id").alias("source"), F.min_by("place", "doc_id").alias("at"), F.count(F.lit(1)).alias("n"))
+    index = stored(first.where("n > 1").drop("n"), "index")
+    here = F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place")).alias("place")
+    read = stored(found.join(index, ["h", "g"]).where("source < doc_id").select(*KEY, here, "source", "at"), "read")
+    discard(found, index)
     # a factor is a run of places whose entries are a run of one source's words: both counters go up by one
     diagonal = [*KEY, "source", F.col("at") - F.col("place")]
     order = F.dense_rank().over(Window.partitionBy(*diagonal).orderBy("place"))  # a repeated row has every place twice
     runs = read.repartition(*KEY).withColumn("run", F.col("place") - order)
     factors = runs.groupBy(*KEY, "source", (F.col("at") - F.col("place")).alias("shift"), "run").agg(F.min("place").alias("first_word"), (F.max("place") - F.min("place") + WINDOW).alias("n_words"))
     one = F.struct("first_word", "n_words", "source", (F.col("first_word") + F.col("shift")).alias("source_word"))
-    return factors.groupBy(*KEY).agg(F.sort_array(F.collect_list(one)).alias("factors"))
+    out = stored(factors.groupBy(*KEY).agg(F.sort_array(F.collect_list(one)).alias("factors")), "factors")
+    discard(read)
+    return out
 
 
 def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The parse's factors of 13 words or more: doc_id, first_word, n_words, and source and source_word where the same words stand first."""
-    found = factored(keyed(docs, id_col, text_col))
-    rows = keyed(docs, id_col, text_col).select(*KEY).join(found, KEY)  # a repeated row has its factors again
-    return rows.select("doc_id", F.explode("factors").alias("f")).select("doc_id", "f.*")
+    rows = keyed(docs, id_col, text_col)
+    each = rows.select(*KEY).join(factored(rows), KEY)  # a repeated row has its factors again
+    return each.select("doc_id", F.explode("factors").alias("f")).select("doc_id", "f.*")
 
 
 def kept_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -189,8 +202,9 @@ def kept_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[byte
 
 def parsed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """text, first_words, n_words (null without factors), doc_id of every row, and the columns to keep as k0, k1, ..."""
-    found = stored(factored(keyed(docs, id_col, text_col)), "factors").select(*KEY, F.col("factors.first_word").alias("first_words"), F.col("factors.n_words").alias("n_words"))
-    return keyed(docs, id_col, text_col, keep).join(found, KEY, "left").select("text", "first_words", "n_words", "doc_id", *(f"k{i}" for i in range(len(keep))))
+    rows = keyed(docs, id_col, text_col, keep)
+    found = factored(rows).select(*KEY, F.col("factors.first_word").alias("first_words"), F.col("factors.n_words").alias("n_words"))
+    return rows.join(found, KEY, "left").select("text", "first_words", "n_words", "doc_id", *(f"k{i}" for i in range(len(keep))))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
