@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -203,3 +205,43 @@ def line_of(content: Column, byte: Column) -> Column:
     """Line, from 1, of a byte offset in ASCII-compatible content."""
     head = content.substr(F.lit(1), byte)
     return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
+
+
+def signed(secret: bytes, body: Column, header: Column) -> Column:
+    """Whether a header (sha256=...) is the HMAC-SHA256 of the body under the secret; null headers aren't.
+
+    The two inner and outer paddings are literals, so that all rows are hashed by built-in expressions.
+    """
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    pad = lambda x: F.lit(bytes(b ^ x for b in key))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), body.cast("binary")), 256))
+    mac = F.sha2(F.concat(pad(0x5C), inner), 256)
+    return F.coalesce(F.lower(header) == F.concat(F.lit("sha256="), mac), F.lit(False)) & header.startswith("sha256=")
+
+
+def forge_push(payload: Column) -> Column:
+    """A push event of the other forge's payload in the names that the queue reads."""
+    get = lambda p: F.coalesce(F.get_json_object(payload, p), F.lit(""))
+    return F.struct(get("$.project.path_with_namespace").alias("full_name"), get("$.ref").alias("ref"), get("$.before").alias("before"))
+
+
+def forge_issue(payload: Column) -> Column:
+    """An issue event likewise; its number is the project's own, labels are names; null where the payload has no attributes."""
+    get = lambda p: F.coalesce(F.get_json_object(payload, p), F.lit(""))
+    of = lambda p: get(f"$.object_attributes.{p}")
+    action = mapped(of("action"), {"open": "opened", "reopen": "reopened", "update": "labeled"})
+    labels = F.from_json(F.get_json_object(payload, "$.labels"), "array<struct<title:string>>")
+    names = F.filter(F.transform(labels, lambda x: x["title"]), lambda x: x.isNotNull())
+    number = F.coalesce(of("iid").try_cast("long"), F.lit(0).cast("long"))
+    row = F.struct(get("$.project.path_with_namespace").alias("full_name"), F.coalesce(action, of("action")).alias("action"), number.alias("number"), of("title").alias("title"), of("description").alias("body"), F.coalesce(names, F.array().cast("array<string>")).alias("labels"))
+    return F.when(F.get_json_object(payload, "$.object_attributes").isNotNull(), row)
+
+
+#: What another engine calls definitions and edges, in our kinds.
+FOREIGN_DEFS = {"function": "function", "method": "method", "class": "class", "struct": "class", "interface": "interface", "trait": "interface", "protocol": "interface", "variable": "variable", "constant": "variable", "module": "module", "namespace": "module"}
+FOREIGN_EDGES = {"calls": "calls", "instantiates": "calls", "extends": "extends", "implements": "extends", "imports": "imports", "references": "references", "contains": "contains"}
+
+
+def in_repo(path: Column) -> Column:
+    """Whether a normalised path lies in the tree: relative, and not above it."""
+    return ~path.startswith("/") & ~path.rlike(r"(^|/)[.][.](/|$)") & ~path.rlike("^[A-Za-z]:/")

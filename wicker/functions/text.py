@@ -7,10 +7,10 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that say nothing about a subject; one list for prose, one for questions, one for duplicate reports.
-PROSE_STOP = frozenset("about after again also because been before being between both cannot could does doing done down during each else ever every from have having here hers into itself just less like more most much must only other over same should some such than that their them then there these they this those through under until very want were what when where which while whom will with would your yours".split())
-QUERY_STOP = frozenset("a about add all also an and any are as at be been bug but by call called can code could did do does error errors file files fix for from get had has have how if in into is issue it its line lines make may more my new no not of on one only or our out over raise raised run same see set should so some such test tests than that the their then there these they this to two use used using was we what when where which who why will with would you your".split())
-GRAMMAR = frozenset("a able about above after all also am an and any anything are as at be because been but by can cannot could did do does done else for from get gets getting got had has have having he her here his how i if in into is it its just may me more most my no not now of on once one only or other our out over she should since so some such than that the their them then there these they this those through to too under up us very was we were what when where which while who why will with would you your".split())
+#: Words that say nothing about a subject, short ones first; one list for prose, one for questions, one for duplicate reports.
+PROSE_STOP = frozenset("with will when what were very this they then them that than such some same over onto only must most more make made like just into here have from each done does both been also would while which under those these there their other could after about should before through between because".split())
+QUERY_STOP = frozenset("you why who was use two the set see run out our one off not new may its how has get for fix did can but bug are any and all add with when what used this then that than test such some seen same over only most more make made line into have from file each done does code call also would which where using tests raise other lines issue fixed files error could should raises raised errors called running".split())
+GRAMMAR = frozenset("you why who was the out our off not may its how has had for did can but are any and all your with will when what were very this then that than such some same over only most more just it's into here have from even each done does both been also would while which where those these there their still other might every could being again after about should before because".split())
 
 
 def ascii_lower(c: Column) -> Column:

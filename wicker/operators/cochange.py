@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,9 +12,10 @@ DRIFT = 25
 
 def pairs(commits: DataFrame, smallest: int = 2, largest: int = 20, support: int = 3, partners: int = 8) -> DataFrame:
     """(a, b, n, conf) with a < b, from commits(commit_id, file): pairs of enough commits that stand among the strongest
-    partners of either file. Commits of too many files are left out before pairs are made, so a commit makes few."""
+    partners of either file. Commits of too many files are counted and left out before their files are gathered."""
     files = commits.select("commit_id", "file").distinct()
-    use = files.groupBy("commit_id").agg(F.collect_set("file").alias("f")).where(F.size("f").between(smallest, largest)).select(F.array_sort("f").alias("f"))
+    fit = files.groupBy("commit_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(smallest, largest)).select("commit_id")
+    use = files.join(fit, "commit_id", "left_semi").groupBy("commit_id").agg(F.array_sort(F.collect_list("file")).alias("f")).select("f")
     each = use.select(F.explode(F.flatten(F.transform("f", lambda x, i: F.transform(F.slice("f", i + 2, largest), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
     n = each.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
     both = n.select(F.col("a").alias("file"), F.col("b").alias("partner"), "n").unionByName(n.select(F.col("b").alias("file"), F.col("a").alias("partner"), "n"))
@@ -34,3 +35,15 @@ def edges(pairs: DataFrame, files: DataFrame) -> DataFrame:
 def reusable(behind: int | None, ahead: int | None) -> bool:
     """Whether a stored result serves, by commits on either side of the fork; unknown history means no."""
     return behind is not None and ahead is not None and behind + ahead <= DRIFT
+
+
+def write(folder: str, pairs: DataFrame, head: str) -> None:
+    """Keep pairs with the commit that they were mined at."""
+    pairs.withColumn("head", F.lit(head)).write.mode("overwrite").parquet(folder)
+
+
+def read(spark: SparkSession, folder: str, behind: dict[str, tuple[int, int]]) -> DataFrame | None:
+    """Kept pairs, if the commit they were mined at is near enough; behind gives, by commit, the commits on either side of the fork."""
+    kept = spark.read.parquet(folder)
+    head = kept.select("head").first()
+    return kept.drop("head") if head and reusable(*behind.get(head[0], (None, None))) else None

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .iterate import prefix_sums
 
 LOOKBACK, FEWEST = 300, 8
 
@@ -14,8 +15,15 @@ LOOKBACK, FEWEST = 300, 8
 def fingerprints(reports: DataFrame, id_col: str, group_col: str, text_col: str, seeds: Column | None = None) -> DataFrame:
     """id, group, rank within the group, shingles, words and seeds of every report."""
     w = T.report_words(F.col(text_col))
-    rank = F.row_number().over(W.partitionBy(group_col).orderBy(id_col))
-    return reports.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), rank.alias("rank"), T.shingles(w).alias("shingles"), T.content_words(w).alias("words"), (seeds if seeds is not None else F.array().cast("array<string>")).alias("seeds"))
+    texts = reports.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), T.shingles(w).alias("shingles"), T.content_words(w).alias("words"), (seeds if seeds is not None else F.array().cast("array<string>")).alias("seeds"))
+    ranks = ranked(reports.select(F.col(id_col).alias("_id"), F.col(group_col).alias("_grp")))
+    return texts.join(ranks, F.col("id").eqNullSafe(F.col("_id")) & F.col("grp").eqNullSafe(F.col("_grp"))).select("id", "grp", "rank", "shingles", "words", "seeds")
+
+
+def ranked(ids: DataFrame) -> DataFrame:
+    """_id, _grp and rank, from 1 on by id within the group, of every pair once; texts stay out of it and a group of many ids is not one task's."""
+    one = ids.distinct().withColumn("_one", F.lit(1))
+    return prefix_sums(one, "_id", "_one", "_before", ["_grp"]).select("_id", "_grp", (F.col("_before") + 1).cast("int").alias("rank"))
 
 
 def is_duplicate(copy: Column, text: Column, seed: Column, blind: Column) -> Column:

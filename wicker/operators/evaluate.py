@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .iterate import prefix_sums, settled
+
 Z = 1.96
 
 
@@ -70,9 +72,15 @@ def sign_test(moved: DataFrame) -> DataFrame:
     """One row of moved(better, worse): exact two-sided p that as many of the moved pairs went one way by chance."""
     s = moved.agg(F.sum("better").alias("better"), F.sum("worse").alias("worse"))
     n, k = F.col("better") + F.col("worse"), F.least("better", "worse")
-    logs = lambda m: F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1)).cast("int")), F.lit(0.0), lambda a, x: a + F.log(x.cast("double")))
-    term = lambda i: F.exp(logs(n) - logs(i) - logs(n - i) - n * F.log(F.lit(2.0)))
-    tail = F.aggregate(F.sequence(F.lit(0), k.cast("int")), F.lit(0.0), lambda a, i: a + term(i))
+    # each term from the one before it, in logarithms, so that nothing vanishes: one pass over k terms
+    start = F.struct((-n * F.log(F.lit(2.0))).alias("log"), F.exp(-n * F.log(F.lit(2.0))).alias("sum"))
+
+    def step(a: Column, i: Column) -> Column:
+        log = a["log"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))
+        return F.struct(log.alias("log"), (a["sum"] + F.exp(log)).alias("sum"))
+
+    terms = F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
+    tail = F.aggregate(terms, start, step, lambda a: a["sum"])
     return s.withColumn("p", F.round(F.when(n > 0, F.least(2 * tail, F.lit(1.0))).otherwise(1.0), 6))
 
 
@@ -123,22 +131,86 @@ def hash_of(s: str) -> int:
 
 
 def cluster_bootstrap(cases: DataFrame, draws: int = 2000, seed: int = 1) -> DataFrame:
-    """One row (mean, low, high): the mean of cases(cluster, value) and its 95 % interval when clusters are redrawn.
+    """One row (mean, low, high): the mean of cases(cluster, value) and its 95 % interval when as many clusters as there are
+    are drawn again, with replacement.
 
-    Every cluster's number of copies in a draw is Poisson(1) from a hash of (draw, cluster), so draws need no random access
-    and clusters may lie in any task.
+    Clusters are reduced to sum and count and numbered; place i of draw r takes the cluster whose number a hash of (r, i)
+    gives, so that places need no common state and are dealt over tasks. low and high are the draws at 2.5 and 97.5 %.
     """
-    c = cases.groupBy("cluster").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
-    d = c.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "r", F.col("cluster").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    cdf, total, term = [], 0.0, math.exp(-1)
-    for i in range(8):
-        total += term
-        cdf.append(total)
-        term /= i + 1
-    times = sum((F.when(u > x, 1).otherwise(0) for x in cdf), F.lit(0))
-    means = d.withColumn("t", times).groupBy("r").agg((F.sum(F.col("t") * F.col("s")) / F.sum(F.col("t") * F.col("n"))).alias("m"))
-    return c.agg((F.sum("s") / F.sum("n")).alias("mean")).join(means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high")))
+    c = settled(cases.groupBy("cluster").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n")))
+    total = c.agg(F.count(F.lit(1)).alias("m"), (F.sum("s") / F.sum("n")).alias("mean"))
+    numbered = numbered_from_zero(c, "cluster")
+    places = total.select("m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("r")).repartition("r")
+    places = places.select("r", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("i"))
+    drawn = places.select("r", F.pmod(F.xxhash64(F.lit(seed), "r", "i"), F.col("m")).alias("no")).groupBy("r", "no").agg(F.count(F.lit(1)).alias("t"))
+    means = drawn.join(numbered, "no").groupBy("r").agg((F.sum(F.col("t") * F.col("s")) / F.sum(F.col("t") * F.col("n"))).alias("m"))
+    low, high = int(0.025 * draws), int(0.975 * draws)
+    ends = means.agg(F.array_sort(F.collect_list("m")).alias("m")).select(F.get("m", F.lit(low)).alias("low"), F.get("m", F.lit(high)).alias("high"))
+    return total.select("mean").join(ends)
+
+
+def numbered_from_zero(rows: DataFrame, key: str) -> DataFrame:
+    """rows with no = 0, 1, ...: numbers inside blocks of hashed keys, then the blocks' totals, so that no task sorts all."""
+    part = rows.withColumn("_slot", F.shiftrightunsigned(F.xxhash64(key), 40))
+    sums = prefix_sums(part.groupBy("_slot").agg(F.count(F.lit(1)).alias("_many")), "_slot", "_many", "_base").drop("_many")
+    inside = F.row_number().over(W.partitionBy("_slot").orderBy(key)) - 1
+    return part.withColumn("_in", inside).join(sums, "_slot").withColumn("no", F.col("_base") + F.col("_in")).drop("_slot", "_in", "_base")
+
+
+def paired(now: DataFrame, before: DataFrame) -> DataFrame:
+    """One row that compares two runs case by case: now and before have case_id, recall and tokens; cases of one run only don't count.
+
+    recall_gain and token_gain are mean differences; better, worse and same count the cases that moved; rescued had nothing
+    before and lost have nothing now, of blind that had nothing before. p is the sign test's over those that moved.
+    """
+    b = before.select("case_id", F.col("recall").alias("r0"), F.col("tokens").alias("t0"))
+    both = now.select("case_id", "recall", "tokens").join(b, "case_id")
+    gain, had, has = F.col("recall") - F.col("r0"), F.col("r0") > 0, F.col("recall") > 0
+    one = both.agg(
+        F.count(F.lit(1)).alias("cases"), F.round(F.avg(gain), 6).alias("recall_gain"), F.round(F.avg(F.col("tokens") - F.col("t0")), 6).alias("token_gain"),
+        F.count_if(gain > 0).alias("better"), F.count_if(gain < 0).alias("worse"), F.count_if(gain == 0).alias("same"),
+        F.count_if(~had & has).alias("rescued"), F.count_if(had & ~has).alias("lost"), F.count_if(~had).alias("blind"),
+    )
+    return one.join(sign_test(one.select("better", "worse")).select("p"))
+
+
+def missing(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(what, value, n) of symbols(file, name, kind) that only they have: by kind, by name where a name repeats (10), by file (5);
+    and, as `relabelled`, how symbols that both have differ in kind (6)."""
+    key = ["file", "name"]
+    own = ours.select(*key, F.col("kind").alias("mine"))
+    gone = theirs.select(*key, "kind").distinct().join(own.select(*key).distinct(), key, "left_anti")
+    pairs = gone.select(*key).distinct()
+    by = lambda rows, what, c, least, most: (lambda g: g.orderBy(F.desc("n"), "value").limit(most) if most else g)(rows.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)).select(F.lit(what).alias("what"), "value", "n")
+    label = theirs.select(*key, "kind").distinct().join(own.groupBy(*key).agg(F.max("mine").alias("mine")), key).where("kind <> mine")
+    label = label.withColumn("pair", F.concat_ws(" > ", "kind", "mine"))
+    return by(gone, "kind", "kind", 1, None).unionByName(by(pairs, "name", "name", 2, 10)).unionByName(by(pairs, "file", "file", 1, 5)).unionByName(by(label, "relabelled", "pair", 1, 6))
+
+
+def hub_callers(missed: DataFrame, most: int = 5) -> DataFrame:
+    """(file, caller, n, share): the callers out of which most of the missed(file, caller, ...) calls go, and their share of all."""
+    g = missed.groupBy("file", "caller").agg(F.count(F.lit(1)).alias("n"))
+    return g.orderBy(F.desc("n"), "file", "caller").limit(most).join(missed.agg(F.count(F.lit(1)).alias("total"))).select("file", "caller", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
+def scraped(outputs: DataFrame, id_col: str, text_col: str, bytes_per_token: float = 3.5) -> DataFrame:
+    """What another tool's printed answer holds: sources (files whose text it shows), cited (these and files named with a line),
+    tokens of all and of the text inside fences."""
+    text = F.col(text_col)
+    lines = F.split(text, "\n")
+    sources = F.array_distinct(F.filter(F.transform(lines, lambda x: F.regexp_extract(x, r"^\*\*`([^`]+)`\*\*", 1)), lambda x: x != ""))
+    cited = F.regexp_extract_all(text, F.lit(r"\(([\w./-]+\.(?:py|ts|tsx|js|jsx)):\d+\)"), 1)
+    start = F.struct(F.lit(False).alias("inside"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("closed"))
+
+    def step(s: Column, x: Column) -> Column:
+        fence, size = x.startswith("```"), F.octet_length(x).cast("long") + 1
+        return F.struct((s["inside"] != fence).alias("inside"), F.when(fence, F.lit(0).cast("long")).when(s["inside"], s["size"] + size).otherwise(s["size"]).alias("size"), F.when(fence & s["inside"], s["closed"] + s["size"]).otherwise(s["closed"]).alias("closed"))
+
+    shown = F.aggregate(lines, start, step, lambda s: s["closed"])
+    return outputs.select(
+        F.col(id_col).alias("id"), sources.alias("sources"), F.array_sort(F.array_union(cited, sources)).alias("cited"),
+        F.round(F.octet_length(text) / bytes_per_token, 6).alias("tokens"), F.round(shown / bytes_per_token, 6).alias("source_tokens"),
+    )
 
 
 def staged_confirmation(edges: DataFrame, observed: DataFrame, constructors: DataFrame, kin: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import REASONS
-from .iterate import settled
+from .iterate import prefix_sums, settled
 
 
 def dedup_edges(edges: DataFrame) -> DataFrame:
@@ -35,14 +35,10 @@ def degrees(edges: DataFrame) -> DataFrame:
 def csr_offsets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Where each node's run begins in the edge list sorted by (src, dst, kind, conf).
 
-    The prefix sum runs over ranges of node ids: sums inside a range, then the ranges' totals, so no task sees all nodes.
+    The prefix sum runs over ranges of node ids, level by level, so no task sees all nodes.
     """
     degree = nodes.select(F.col("node_id").alias("n")).join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("d")), F.col("n") == F.col("src"), "left").select("n", F.coalesce("d", F.lit(0)).alias("degree"))
-    part = degree.withColumn("block", F.floor(F.col("n") / 4096))
-    totals = part.groupBy("block").agg(F.sum("degree").alias("t"))
-    before = totals.withColumn("base", F.coalesce(F.sum("t").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("block", "base")
-    inside = F.coalesce(F.sum("degree").over(W.partitionBy("block").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return part.withColumn("inside", inside).join(before, "block").select(F.col("n").alias("node_id"), "degree", (F.col("base") + F.col("inside")).alias("first"))
+    return prefix_sums(degree, "n", "degree", "first").select(F.col("n").alias("node_id"), "degree", "first")
 
 
 def impact(edges: DataFrame, starts: list[int], depth: int = 3, min_conf: int = 80, skip_contains: bool = False) -> DataFrame:
@@ -50,7 +46,7 @@ def impact(edges: DataFrame, starts: list[int], depth: int = 3, min_conf: int =
     use = edges.where(F.col("conf") >= min_conf)
     if skip_contains:
         use = use.where("kind <> 'contains'")
-    use = use.select(F.col("src"), F.col("dst")).distinct()
+    use = use.select("src", "dst")
     spark = edges.sparkSession
     seen = spark.createDataFrame([(s, 0) for s in starts], "node_id long, hops int")
     frontier = seen
@@ -94,8 +90,9 @@ def flow(edges: DataFrame, a: int, b: int, max_hops: int = 8) -> DataFrame:
     return shortest_path(edges, b, a, max_hops).withColumn("reversed", F.lit(True))
 
 
-def expand(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """Best score and reason for every node within one or two hops of the seeds(node_id, why, score).
+def expand(edges: DataFrame, seeds: DataFrame, hops: int, known: DataFrame | None = None) -> DataFrame:
+    """Best score and reason for every node within one or two hops of the seeds(node_id, why, score); nodes ``known`` in the
+    same columns have their scores too, but nothing is expanded from them unless it finds a better one.
 
     An edge gives reason weight times confidence, less by 0.45 at the second hop; co-change isn't decayed. Only nodes that
     improved go on. Ties: the nearer hop, then callers before callees, then co-change.
@@ -107,6 +104,9 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     weight = F.when(co, REASONS["co-change"]).when(F.col("way") == "caller", REASONS["caller"]).otherwise(REASONS["callee"])
     best = seeds.select(F.col("node_id").cast("long").alias("node_id"), "why", F.col("score").cast("double").alias("score"), F.lit(0).alias("hop"))
     frontier, decay = best.select("node_id"), 1.0
+    if known is not None:
+        rest = known.join(best.select("node_id"), "node_id", "left_anti")
+        best = best.unionByName(rest.select(F.col("node_id").cast("long").alias("node_id"), "why", F.col("score").cast("double").alias("score"), F.lit(0).alias("hop")))
     order = {"seed": 0, "path": 1, "prose": 2, "on-path": 3, "caller": 4, "callee": 5, "co-change": 6}
     rank = F.coalesce(*(F.when(F.col("why") == k, F.lit(v)) for k, v in order.items()))
     for hop in range(1, hops + 1):
@@ -146,13 +146,23 @@ def file_ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def falsified(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with the rules that they break: extends itself, extends what is no class, crosses language families, ends in vendored code."""
+    """Edges with the rules that they break: extends itself, extends what is no class, crosses language families, ends in
+    vendored code, and, where nodes have name and body, calls itself though the body never does."""
     a = nodes.select(F.col("node_id").alias("src"), F.col("family").alias("sf"))
     b = nodes.select(F.col("node_id").alias("dst"), F.col("family").alias("df"), F.col("kind").alias("dk"), F.col("vendored").alias("dv"))
-    extends = F.col("kind") == "extends"
+    extends, itself = F.col("kind") == "extends", F.col("src") == F.col("dst")
+    calls_itself = F.lit(False)
+    if {"name", "body"} <= set(nodes.columns):
+        # only self-calls need their source: the text after the first line, with the name bare or on self before a bracket
+        loops = edges.where((F.col("kind") == "calls") & itself).select("src").distinct()
+        later = F.regexp_replace("body", r"^[^\n]*\n", "")
+        quoted = F.concat(F.lit(r"(^|[^.\w])(self[.])?\Q"), "name", F.lit(r"\E\s*\("))
+        held = nodes.join(loops.withColumnRenamed("src", "node_id"), "node_id", "left_semi").select(F.col("node_id").alias("src"), later.alias("later"), quoted.alias("quoted"))
+        own = held.select("src", (~F.expr("later rlike quoted")).alias("idle"))
+        edges, calls_itself = edges.join(own, "src", "left"), F.coalesce(F.col("idle") & (F.col("kind") == "calls") & itself, F.lit(False))
     return edges.join(a, "src").join(b, "dst").select(
-        "src", "dst", "kind", "conf", "prov",
-        (extends & (F.col("src") == F.col("dst"))).alias("extends_self"),
+        "src", "dst", "kind", "conf", "prov", calls_itself.alias("call_without_recursion"),
+        (extends & itself).alias("extends_self"),
         (extends & ~F.col("dk").isin("class", "interface")).alias("extends_other"),
         (F.col("sf") != F.col("df")).alias("cross_language"),
         F.col("dv").alias("into_vendored"),

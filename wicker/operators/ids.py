@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .iterate import prefix_sums
+
 COMPACT_ABOVE = 0.25
 
 
@@ -33,13 +35,13 @@ def assign(old: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _numbered(rows: DataFrame, by: str, descending: bool = False) -> DataFrame:
-    """r = 1, 2, ... in the order of ``by``, by counts of hashed ranges instead of one global sort task."""
-    block = F.floor(F.col(by) / F.lit(1 << 52)) if by == "node_key" else F.floor(F.col(by) / 4096)
-    order = F.desc if descending else F.asc
-    part = rows.withColumn("block", block)
-    totals = part.groupBy("block").agg(F.count(F.lit(1)).alias("t"))
-    before = totals.withColumn("base", F.coalesce(F.sum("t").over(W.orderBy(order("block")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("block", "base")
-    return part.withColumn("i", F.row_number().over(W.partitionBy("block").orderBy(order(by)))).join(before, "block").select(by, (F.col("base") + F.col("i")).alias("r"))
+    """r = 1, 2, ... in the order of ``by``, by counts of ranges instead of one global sort task; keys are hashes, ids are dense."""
+    one = rows.withColumn("_one", F.lit(1)).withColumn("_k", -F.col(by) if descending else F.col(by))
+    if by != "node_key":
+        return prefix_sums(one, "_k", "_one", "before").select(by, (F.col("before") + 1).alias("r"))
+    part = rows.withColumn("block", F.floor(F.col(by) / F.lit(1 << 40)))
+    sums = prefix_sums(part.groupBy("block").agg(F.count(F.lit(1)).alias("t")), "block", "t", "base")
+    return part.withColumn("i", F.row_number().over(W.partitionBy("block").orderBy(by))).join(sums, "block").select(by, (F.col("base") + F.col("i")).alias("r"))
 
 
 def changes(prior: DataFrame, found: DataFrame, key: str, stamp: list[str]) -> DataFrame:
@@ -53,6 +55,12 @@ def overlay(base: DataFrame, delta: DataFrame, gone: DataFrame, key: str) -> Dat
     return base.join(delta.select(key), key, "left_anti").join(gone.select(key), key, "left_anti").unionByName(delta.join(gone.select(key), key, "left_anti"))
 
 
+def cached_head(base: DataFrame, delta: DataFrame) -> DataFrame:
+    """One row: the commit that a cache is current at - the delta's, as it is written after the base, else the base's; each has one row (head)."""
+    some = lambda df, rank: df.where("head <> ''").select(F.lit(rank).alias("rank"), "head")
+    return some(delta, 0).unionByName(some(base, 1)).agg(F.min_by("head", "rank").alias("head"))
+
+
 def compaction(base: DataFrame, statuses: DataFrame) -> DataFrame:
     """One row: base rows, churned rows and whether the base should be written anew rather than a delta beside it."""
     n = base.agg(F.count(F.lit(1)).alias("n_base"))
@@ -73,5 +81,6 @@ def semantic_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def semantic_hash(lines: DataFrame) -> DataFrame:
-    """An order-free digest of the lines, added up in each task: their number and the sum of their hashes."""
-    return lines.agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).cast("string").alias("digest"))
+    """An order-free digest of the lines, added up in each task: their number and the sum of the first 48 bits of their MD5."""
+    head = F.conv(F.substring(F.md5(F.col("line").cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")
+    return lines.agg(F.count(F.lit(1)).alias("n_lines"), F.sum(head).cast("string").alias("digest"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import backoff
+from ..functions.scalars import backoff, setting
 
 LEASE, MOST_DEFERS, QUIET_MS = 60, 180, 300
 
@@ -88,6 +88,16 @@ def unanswered(issues: DataFrame, runs: DataFrame, stale: DataFrame | None = Non
     return issues.join(done, "id", "left_semi").join(stale.select("id"), "id", "left_semi")
 
 
+def swept(jobs: DataFrame, repos: DataFrame, now: int, reanalyse_hours: int = 0) -> tuple[DataFrame, DataFrame]:
+    """One round of the timers: jobs with expired leases queued again, and new requests(dedupe_key, repo_id, kind, run_after) for
+    ready repositories(id, state, config) that ask for re-analysis, where no queued job has their key."""
+    jobs = reclaimed(jobs, now)
+    asks = F.coalesce(setting(F.col("config"), "reanalyse", "0").try_cast("int"), F.lit(0)) > 0
+    wants = repos.where((F.col("state") == "ready") & asks) if reanalyse_hours > 0 else repos.limit(0)
+    requests = wants.select(F.col("id").alias("request_id"), F.concat(F.lit("reanalyse:"), F.col("id").cast("string")).alias("dedupe_key"), F.col("id").alias("repo_id"), F.lit("reanalyse").alias("kind"), F.lit(now).alias("run_after"))
+    return jobs, enqueue(jobs.where("state = 'queued'").select("dedupe_key"), requests).drop("request_id")
+
+
 def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Old rows overridden, where the new ones aren't null, plus rows of new keys."""
     rest = [c for c in old.columns if c not in key]

@@ -33,16 +33,18 @@ def bm25_seeds(prose: DataFrame, query: DataFrame, most: int, b: float = 0.75) -
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-def find(nodes: DataFrame, names: list[str], most: int = 50) -> DataFrame:
-    """Nodes of exactly these names, files by path included, by id."""
+def find(nodes: DataFrame, names: list[str], most: int | None = 50) -> DataFrame:
+    """Nodes of exactly these names, files by path included, by id; at most so many of each name, or all."""
+    if most is None:
+        return nodes.where(F.col("name").isin(names))
     w = W.partitionBy("name").orderBy("node_id")
     return nodes.where(F.col("name").isin(names)).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
 def ranked_names(nodes: DataFrame) -> DataFrame:
     """The best node of every name: not a test, not a variable, shallow, then the smaller id; with the number of its namesakes."""
-    w = W.partitionBy("name").orderBy(candidate_rank(F.col("path"), F.col("kind")), depth(F.col("path")), "node_id")
-    return nodes.withColumn("n_defs", F.count(F.lit(1)).over(W.partitionBy("name")).cast("int")).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("name", "node_id", "n_defs")
+    order = F.struct(candidate_rank(F.col("path"), F.col("kind")).alias("rank"), depth(F.col("path")).alias("depth"), "node_id")
+    return nodes.groupBy("name").agg(F.min(order).alias("best"), F.count(F.lit(1)).cast("int").alias("n_defs")).select("name", "best.node_id", "n_defs")
 
 
 def named_seeds(nodes: DataFrame, owners: DataFrame, asked: list[str]) -> DataFrame:
@@ -127,9 +129,11 @@ def keyword_hits(query: DataFrame, postings: DataFrame) -> DataFrame:
     return query.join(postings, "word").groupBy("query_id", "item").agg(F.countDistinct("word").cast("int").alias("hits"))
 
 
-def top(scored: DataFrame, by: str, item: str, k: int) -> DataFrame:
+def top(scored: DataFrame, by: str, item: str, k: int | None = None) -> DataFrame:
+    """Ranks from 1 on within each query; the first k of them, or all."""
     w = W.partitionBy("query_id").orderBy(F.desc(by), item)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def within_budget(ranked: DataFrame, cost_col: str, budget: int) -> DataFrame:
@@ -140,6 +144,29 @@ def within_budget(ranked: DataFrame, cost_col: str, budget: int) -> DataFrame:
     return over.where((F.col("rank") == 1) | (F.col("spent") <= budget))
 
 
+def budgeted(scored: DataFrame, by: str, item: str, cost: str, budget: int) -> DataFrame:
+    """The best rows of each query within a budget, with rank and spent; the first always stays, costs are 0 or more.
+
+    What lies behind the budget is left out before rows are ranked: costs are summed by thousandths of the score, and rows of
+    a step that better steps have already overspent can't be reached. So no task ranks a whole query's rows.
+    """
+    steps = scored.withColumn("_step", F.floor(F.col(by) * 1000))
+    sums = steps.groupBy("query_id", "_step").agg(F.sum(cost).alias("c"))
+    better = F.coalesce(F.sum("c").over(W.partitionBy("query_id").orderBy(F.desc("_step")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    near = sums.withColumn("before", better).where(F.col("before") <= budget).select("query_id", "_step")
+    return within_budget(top(steps.join(near, ["query_id", "_step"], "left_semi").drop("_step"), by, item), cost, budget)
+
+
+def vectors_by_content(docs: DataFrame, known: DataFrame, text_col: str, embed) -> DataFrame:
+    """(key, vectors) of every distinct text of docs: from known(key, vectors) where its hash is there, else by embed(DataFrame(key, text)).
+
+    The key is the SHA-1 of the text's bytes, so that a text is embedded once, whatever rows, names or commits it has.
+    """
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.sha1(F.col(text_col).cast("binary")).alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
+    new = embed(texts.join(known, "key", "left_anti"))
+    return texts.select("key").join(known.select("key", "vectors"), "key").unionByName(new.select("key", "vectors"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

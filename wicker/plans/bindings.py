@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import dedup_edges
-from ..operators.iterate import settled
+from ..operators.iterate import settled, written_once
 from ..operators.resolve import narrowed
+from ..sources.store import write_graph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Kinds of the star graph's nodes. An id is eight times the table's key, and the kind: no key, however large, meets another kind's.
+KINDS = {"region": 0, "nation": 1, "supplier": 2, "customer": 3, "part": 4}
+
+
+def number(kind: str, key: int) -> int:
+    return 8 * key + KINDS[kind]
+
+
+def node(kind: str, key: str | Column) -> Column:
+    return (F.col(key) if isinstance(key, str) else key).cast("long") * 8 + KINDS[kind]
+
+
+def node_sql(kind: str, key: str) -> str:
+    return f"(CAST({key} AS BIGINT) * 8 + {KINDS[kind]})"
+
+
 def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions as files, nations as modules, suppliers as classes, customers as functions, parts as variables."""
     t = lambda n: table(spark, sf_dir, n)
@@ -21,21 +38,21 @@ def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = t("nation").join(region, F.col("n_regionkey") == F.col("rk")).select(F.col("n_nationkey").alias("nk"), F.col("n_name").alias("nn"), "rk", "rn")
     row = lambda i, name, kind, file, path: [i.cast("long").alias("node_id"), name.alias("name"), F.lit(kind).alias("kind"), file.cast("long").alias("file_id"), path.alias("path")]
     inside = F.concat_ws("/", "rn", "nn")
-    out = region.select(*row(F.col("rk") + 100, F.col("rn"), "file", F.col("rk") + 100, F.col("rn")))
-    out = out.unionByName(nation.select(*row(F.col("nk") + 1000, F.col("nn"), "module", F.col("rk") + 100, inside)))
+    out = region.select(*row(node("region", "rk"), F.col("rn"), "file", node("region", "rk"), F.col("rn")))
+    out = out.unionByName(nation.select(*row(node("nation", "nk"), F.col("nn"), "module", node("region", "rk"), inside)))
     s = t("supplier").join(nation, F.col("s_nationkey") == F.col("nk"))
-    out = out.unionByName(s.select(*row(F.col("s_suppkey") + 1_000_000, F.col("s_name"), "class", F.col("rk") + 100, F.concat_ws("/", inside, "s_name"))))
+    out = out.unionByName(s.select(*row(node("supplier", "s_suppkey"), F.col("s_name"), "class", node("region", "rk"), F.concat_ws("/", inside, "s_name"))))
     c = t("customer").join(nation, F.col("c_nationkey") == F.col("nk"))
-    out = out.unionByName(c.select(*row(F.col("c_custkey") + 2_000_000, F.col("c_name"), "function", F.col("rk") + 100, F.concat_ws("/", inside, "c_name"))))
-    return out.unionByName(t("part").select(*row(F.col("p_partkey") + 3_000_000, F.col("p_name"), "variable", F.lit(None), F.concat_ws("/", "p_brand", F.replace(F.col("p_type"), F.lit(" "), F.lit("/"))))))
+    out = out.unionByName(c.select(*row(node("customer", "c_custkey"), F.col("c_name"), "function", node("region", "rk"), F.concat_ws("/", inside, "c_name"))))
+    return out.unionByName(t("part").select(*row(node("part", "p_partkey"), F.col("p_name"), "variable", F.lit(None), F.concat_ws("/", "p_brand", F.replace(F.col("p_type"), F.lit(" "), F.lit("/"))))))
 
 
 def star_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     edge = lambda a, b: [a.cast("long").alias("src"), b.cast("long").alias("dst"), F.lit("contains").alias("kind"), F.lit(100).alias("conf"), F.lit("scope").alias("prov")]
-    out = t("nation").select(*edge(F.col("n_regionkey") + 100, F.col("n_nationkey") + 1000))
-    out = out.unionByName(t("supplier").select(*edge(F.col("s_nationkey") + 1000, F.col("s_suppkey") + 1_000_000)))
-    return out.unionByName(t("customer").select(*edge(F.col("c_nationkey") + 1000, F.col("c_custkey") + 2_000_000)))
+    out = t("nation").select(*edge(node("region", "n_regionkey"), node("nation", "n_nationkey")))
+    out = out.unionByName(t("supplier").select(*edge(node("nation", "s_nationkey"), node("supplier", "s_suppkey"))))
+    return out.unionByName(t("customer").select(*edge(node("nation", "c_nationkey"), node("customer", "c_custkey"))))
 
 
 def order_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +64,7 @@ def order_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
     rows = t("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(lines, "o_orderkey").join(cust, "c_custkey").join(supp, "s_suppkey")
     locality = F.when(F.col("ck") == F.col("sk"), 3).when(F.col("cr") == F.col("sr"), 2).otherwise(1)
-    return rows.select(F.col("o_orderkey").alias("ref"), (F.col("c_custkey") + 2_000_000).alias("src"), (F.col("s_suppkey") + 1_000_000).alias("dst"), locality.alias("locality"))
+    return rows.select(F.col("o_orderkey").alias("ref"), node("customer", "c_custkey").alias("src"), node("supplier", "s_suppkey").alias("dst"), locality.alias("locality"))
 
 
 def star_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,26 +72,37 @@ def star_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return narrowed(rows.select("ref", "dst", "locality")).join(rows.select("ref", "src").distinct(), "ref")
 
 
-def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containment and resolved calls, the best of each pair; written once, as traversals read it again and again."""
-    calls = star_resolved(spark, sf_dir).where("conf IS NOT NULL").select("src", "dst", F.lit("calls").alias("kind"), "conf", F.lit("name").alias("prov"))
-    return settled(dedup_edges(star_contains(spark, sf_dir).unionByName(calls)))
+GRAPH = ("region", "nation", "supplier", "customer", "orders", "lineitem")
+
+
+def star_edges(spark: SparkSession, sf_dir: str, by: str = "src") -> DataFrame:
+    """Containment and resolved calls, the best of each pair, sorted by source or by target.
+
+    The graph is written once, in both layouts; lookups and hops read the row groups that hold their keys.
+    """
+
+    def build(folder: str) -> None:
+        calls = star_resolved(spark, sf_dir).where("conf IS NOT NULL").select("src", "dst", F.lit("calls").alias("kind"), "conf", F.lit("name").alias("prov"))
+        write_graph(folder, {"edges": settled(dedup_edges(star_contains(spark, sf_dir).unionByName(calls)))})
+
+    folder = written_once(spark, "graph", [f"{sf_dir}/{t}.parquet" for t in GRAPH], build)
+    return spark.read.parquet(f"{folder}/edges_by_{by}")
 
 
 NATIONS = "nr AS (SELECT n_nationkey AS nk, n_name AS nn, r_regionkey AS rk, r_name AS rn FROM nation JOIN region ON n_regionkey = r_regionkey)"
 SQL_NODES = f"""{NATIONS},
 nodes AS (
-  SELECT CAST(100 + r_regionkey AS BIGINT) AS node_id, r_name AS name, 'file' AS kind, CAST(100 + r_regionkey AS BIGINT) AS file_id, r_name AS path FROM region
-  UNION ALL SELECT 1000 + nk, nn, 'module', 100 + rk, rn || '/' || nn FROM nr
-  UNION ALL SELECT 1000000 + s_suppkey, s_name, 'class', 100 + rk, rn || '/' || nn || '/' || s_name FROM supplier JOIN nr ON s_nationkey = nk
-  UNION ALL SELECT 2000000 + c_custkey, c_name, 'function', 100 + rk, rn || '/' || nn || '/' || c_name FROM customer JOIN nr ON c_nationkey = nk
-  UNION ALL SELECT 3000000 + p_partkey, p_name, 'variable', NULL, p_brand || '/' || replace(p_type, ' ', '/') FROM part)"""
-SQL_CONTAINS = """contains_edges AS (
-  SELECT CAST(100 + n_regionkey AS BIGINT) AS src, CAST(1000 + n_nationkey AS BIGINT) AS dst FROM nation
-  UNION ALL SELECT 1000 + s_nationkey, 1000000 + s_suppkey FROM supplier
-  UNION ALL SELECT 1000 + c_nationkey, 2000000 + c_custkey FROM customer)"""
-SQL_RESOLVED = """cand AS (
-  SELECT DISTINCT o_orderkey AS ref, 2000000 + c_custkey AS src, 1000000 + s_suppkey AS dst,
+  SELECT {node_sql("region", "r_regionkey")} AS node_id, r_name AS name, 'file' AS kind, {node_sql("region", "r_regionkey")} AS file_id, r_name AS path FROM region
+  UNION ALL SELECT {node_sql("nation", "nk")}, nn, 'module', {node_sql("region", "rk")}, rn || '/' || nn FROM nr
+  UNION ALL SELECT {node_sql("supplier", "s_suppkey")}, s_name, 'class', {node_sql("region", "rk")}, rn || '/' || nn || '/' || s_name FROM supplier JOIN nr ON s_nationkey = nk
+  UNION ALL SELECT {node_sql("customer", "c_custkey")}, c_name, 'function', {node_sql("region", "rk")}, rn || '/' || nn || '/' || c_name FROM customer JOIN nr ON c_nationkey = nk
+  UNION ALL SELECT {node_sql("part", "p_partkey")}, p_name, 'variable', NULL, p_brand || '/' || replace(p_type, ' ', '/') FROM part)"""
+SQL_CONTAINS = f"""contains_edges AS (
+  SELECT {node_sql("region", "n_regionkey")} AS src, {node_sql("nation", "n_nationkey")} AS dst FROM nation
+  UNION ALL SELECT {node_sql("nation", "s_nationkey")}, {node_sql("supplier", "s_suppkey")} FROM supplier
+  UNION ALL SELECT {node_sql("nation", "c_nationkey")}, {node_sql("customer", "c_custkey")} FROM customer)"""
+SQL_RESOLVED = f"""cand AS (
+  SELECT DISTINCT o_orderkey AS ref, {node_sql("customer", "c_custkey")} AS src, {node_sql("supplier", "s_suppkey")} AS dst,
          CASE WHEN cn.n_nationkey = sn.n_nationkey THEN 3 WHEN cn.n_regionkey = sn.n_regionkey THEN 2 ELSE 1 END AS locality
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
        JOIN nation cn ON cn.n_nationkey = c_nationkey JOIN nation sn ON sn.n_nationkey = s_nationkey),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import text as T
 from ..operators import dedup, evaluate, retrieve, select
+from ..operators.iterate import written_once
 from .bindings import SQL_NODES, star_nodes, table
 
 QUERIES: dict = {}
@@ -26,7 +27,7 @@ def query(sql: str | None):
 
 
 def quoted(words) -> str:
-    return ", ".join(f"'{w}'" for w in sorted(words))
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words))
 
 
 LOW = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -47,7 +48,9 @@ bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 
 def prose(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieve.prose_table(table(spark, sf, "documents"), "doc_id", "text").select("node_id", "word")
+    """The postings, written once and read by every query over words."""
+    build = lambda folder: retrieve.prose_table(table(spark, sf, "documents"), "doc_id", "text").write.parquet(folder)
+    return spark.read.parquet(written_once(spark, "prose", [f"{sf}/documents.parquet"], build)).select("node_id", "word")
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,8 +194,9 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC
 
 
 def keyword_ranked(spark: SparkSession, sf: str) -> DataFrame:
-    postings = table(spark, sf, "documents").select(F.col("source").alias("item"), F.explode(F.array_distinct(T.prose_words(F.col("text")))).alias("word")).distinct()
-    return retrieve.top(retrieve.keyword_hits(asked(spark, sf), postings), "hits", "item", 1_000_000)
+    words = table(spark, sf, "documents").select(F.col("source").alias("item"), F.explode(F.array_distinct(T.prose_words(F.col("text")))).alias("word")).distinct()
+    postings = spark.read.parquet(written_once(spark, "sources", [f"{sf}/documents.parquet"], lambda folder: words.write.parquet(folder)))
+    return retrieve.top(retrieve.keyword_hits(asked(spark, sf), postings), "hits", "item")
 
 
 @query(f"WITH {SQL_KEYWORD} SELECT query_id, item, CAST(hits AS INT) AS hits, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 10")
@@ -218,8 +222,7 @@ def rag_cosine_budget(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     q = F.array(*map(F.lit, e.where("vec_id = 0").first()["embedding"]))
     scored = e.select(F.lit(0).alias("query_id"), "vec_id", F.round(retrieve.cosine(F.col("embedding"), q), 6).alias("score"), (100 + F.col("vec_id") % 50).alias("cost"))
-    first = scored.orderBy(F.desc("score"), "vec_id").limit(26)  # rows cost 100 or more, so a 26th never fits into 2,500
-    return retrieve.within_budget(retrieve.top(first, "score", "vec_id", 26), "cost", 2500).select("vec_id", "rank", "score", "spent")
+    return retrieve.budgeted(scored, "score", "vec_id", "cost", 2500).select("vec_id", "rank", "score", "spent")
 
 
 @query("""WITH l AS (SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -327,13 +330,21 @@ SQL_RECALL = f"""{SQL_BM25}, {SQL_TRUTH}, rc AS (SELECT case_id, count(*) AS wan
 
 
 def truth(spark: SparkSession, sf: str) -> DataFrame:
-    """(case_id, item): documents that hold a benchmark text. A text's first three words find candidates by equality."""
-    head = lambda c: F.array_join(F.slice(F.split(F.trim(c), r"\s+"), 2, 3), " ")
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("needle"), head(F.col("text")).alias("k"))
-    d = table(spark, sf, "documents").select("doc_id", "text", F.explode(T.shingles(F.split("text", r"\s+"), 3)).alias("k"))
-    keys = d.select("doc_id", "k").join(b.select("k", "case_id"), "k").select("doc_id", "case_id").distinct()
-    texts = table(spark, sf, "documents").select("doc_id", "text")
-    return keys.join(texts, "doc_id").join(b, "case_id").where(F.contains("text", "needle")).select("case_id", F.col("doc_id").alias("item"))
+    """(case_id, item): documents that hold a benchmark text.
+
+    Texts of five words or more find candidates by three words inside them, by equality. Shorter ones, which may begin and
+    end within words, are looked for in every document: a stated set of questions against all rows.
+    """
+    cut = lambda c: F.split(c, r"\s+")
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("needle"))
+    long = F.size(cut(F.col("needle"))) >= 5
+    keyed = b.where(long).withColumn("k", F.array_join(F.slice(cut(F.col("needle")), 2, 3), " "))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    d = docs.select("doc_id", F.explode(T.shingles(cut(F.col("text")), 3)).alias("k"))
+    keys = d.join(keyed.select("k", "case_id"), "k").select("doc_id", "case_id").distinct()
+    found = keys.join(docs, "doc_id").join(keyed, "case_id").where(F.contains("text", "needle")).select("case_id", F.col("doc_id").alias("item"))
+    short = docs.join(b.where(~long), F.contains("text", "needle")).select("case_id", F.col("doc_id").alias("item"))
+    return found.unionByName(short)
 
 
 def recalls(spark: SparkSession, sf: str) -> DataFrame:
@@ -354,3 +365,32 @@ def at_least_one(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {SQL_RECALL} SELECT wanted % 3 AS band, round(sum(wanted * 100.0) / nullif(sum(recall * 100), 0), 6) AS tokens_per_point FROM rc GROUP BY 1")
 def tokens_per_point(spark: SparkSession, sf: str) -> DataFrame:
     return recalls(spark, sf).groupBy((F.col("wanted") % 3).alias("band")).agg(F.round(F.sum(F.col("wanted") * 100.0) / F.nullif(F.sum(F.col("recall") * 100), F.lit(0)), 6).alias("tokens_per_point"))
+
+
+@query("""WITH d AS (SELECT doc_id, n_chars, doc_id * 7 % 5 / 4 AS r0, doc_id * 3 % 5 / 4 AS r1, n_chars // 4 AS t0, n_chars // 5 AS t1 FROM documents WHERE doc_id % 3 <> 0),
+s AS (SELECT count(*) AS cases, round(avg(r1 - r0), 6) AS recall_gain, round(avg(t1 - t0), 6) AS token_gain, count(*) FILTER (r1 > r0) AS better, count(*) FILTER (r1 < r0) AS worse, count(*) FILTER (r1 = r0) AS same,
+  count(*) FILTER (r0 = 0 AND r1 > 0) AS rescued, count(*) FILTER (r0 > 0 AND r1 = 0) AS lost, count(*) FILTER (r0 = 0) AS blind FROM d WHERE doc_id % 4 <> 0),
+i AS (SELECT unnest(range(0, (SELECT least(better, worse) + 1 FROM s))) AS i)
+SELECT s.*, round(least(1.0, 2 * (SELECT sum(exp(lgamma(better + worse + 1) - lgamma(i + 1) - lgamma(better + worse - i + 1) - (better + worse) * ln(2))) FROM i)), 6) AS p FROM s""")
+def paired_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two made-up runs over documents; each has some cases that the other lacks."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "n_chars")
+    run = lambda rows, k, cost: rows.select("case_id", (F.col("case_id") * k % 5 / 4).alias("recall"), F.floor(F.col("n_chars") / cost).alias("tokens"))
+    return evaluate.paired(run(d.where("case_id % 4 <> 0"), 3, 5), run(d.where("case_id % 3 <> 0"), 7, 4))
+
+
+@query("""WITH t AS (SELECT doc_id, '**`src/m' || CAST(doc_id % 3 AS VARCHAR) || '.py`** text' || chr(10) || '```' || chr(10) || coalesce(lang, '?') || chr(10) || '```' || chr(10) || 'see (lib/x' || CAST(doc_id % 4 AS VARCHAR) || '.ts:12)' AS x, coalesce(lang, '?') AS l FROM documents)
+SELECT doc_id AS id, 'src/m' || CAST(doc_id % 3 AS VARCHAR) || '.py' AS sources, 'lib/x' || CAST(doc_id % 4 AS VARCHAR) || '.ts,src/m' || CAST(doc_id % 3 AS VARCHAR) || '.py' AS cited, round(strlen(x) / 3.5, 6) AS tokens, round((strlen(l) + 1) / 3.5, 6) AS source_tokens FROM t""")
+def scraped_answers(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("doc_id")
+    said = F.concat(F.lit("**`src/m"), (i % 3).cast("string"), F.lit(".py`** text\n```\n"), F.coalesce("lang", F.lit("?")), F.lit("\n```\nsee (lib/x"), (i % 4).cast("string"), F.lit(".ts:12)"))
+    out = evaluate.scraped(table(spark, sf, "documents").select("doc_id", said.alias("said")), "doc_id", "said")
+    return out.select("id", F.array_join("sources", ",").alias("sources"), F.array_join("cited", ",").alias("cited"), "tokens", "source_tokens")
+
+
+@query("""WITH d AS (SELECT DISTINCT sha1(text) AS key, text FROM documents WHERE text IS NOT NULL) SELECT key, CAST(CASE WHEN starts_with(key, '0') THEN -1 ELSE length(text) END AS INT) AS vectors FROM d""")
+def vectors_by_content(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys that begin with 0 are known; a text's length stands for its vectors."""
+    docs = table(spark, sf, "documents").select("text")
+    known = docs.where("text IS NOT NULL").select(F.sha1(F.col("text").cast("binary")).alias("key")).where("key LIKE '0%'").distinct().withColumn("vectors", F.lit(-1))
+    return retrieve.vectors_by_content(docs, known, "text", lambda new: new.select("key", F.length("text").alias("vectors")))

@@ -275,6 +275,7 @@ def resolve_tier2_import(spark: SparkSession, sf: str) -> DataFrame:
 
 FIXTURE = {
     "app.py": "import helper\nfrom helper import assist as aid\n\nclass Client:\n    def open(self):\n        return self.send()\n\n    def send(self):\n        return helper.assist(1)\n\n\ndef main():\n    c = Client()\n    aid(2)\n    c.open()\n",
+    "deep.py": "from helper import assist\n\nclass Base:\n    def run(self):\n        return assist(3)\n\nclass Child(Base):\n    def run(self):\n        return super().run()\n",
     "helper.py": '"""Shared helper functions."""\n\ndef assist(n):\n    return n + 1\n',
     "web/view.ts": "import { assist } from './helper'\n\nclass View extends Base {\n  draw() {\n    this.paint();\n  }\n  paint() {\n    render(1);\n  }\n}\nconst render = (x) => x;\n",
 }
@@ -286,26 +287,67 @@ def fixture_units(spark: SparkSession) -> dict[str, DataFrame]:
     return extract.tables_of(extract.extract(files), ids_)
 
 
-@query(None)
+def values(*rows: tuple) -> str:
+    return "VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+#: What the files define, by reading them: path, name, qualified name, kind and the number of the definition around.
+DEFINED = [
+    ("app.py", "Client", "Client", "class", None), ("app.py", "open", "Client.open", "method", 0), ("app.py", "send", "Client.send", "method", 0), ("app.py", "main", "main", "function", None),
+    ("deep.py", "Base", "Base", "class", None), ("deep.py", "run", "Base.run", "method", 0), ("deep.py", "Child", "Child", "class", None), ("deep.py", "run", "Child.run", "method", 2),
+    ("helper.py", "assist", "assist", "function", None), ("web/view.ts", "View", "View", "class", None), ("web/view.ts", "draw", "View.draw", "method", 0), ("web/view.ts", "paint", "View.paint", "method", 0), ("web/view.ts", "render", "render", "function", None),
+]
+#: What they refer to: from, to, kind, confidence and how it was found.
+LINKED = [
+    ("app.py:main", "app.py:Client", "calls", 100, "scope"), ("app.py:main", "helper.py:assist", "calls", 95, "import"), ("app.py:main", "app.py:Client.open", "calls", 80, "name"),
+    ("app.py:Client.open", "app.py:Client.send", "calls", 100, "scope"), ("app.py:Client.send", "helper.py:assist", "calls", 95, "import"),
+    ("deep.py:Base.run", "helper.py:assist", "calls", 95, "import"), ("deep.py:Child", "deep.py:Base", "extends", 100, "scope"), ("deep.py:Child.run", "deep.py:Base.run", "calls", 80, "name"),
+    ("web/view.ts:View.draw", "web/view.ts:View.paint", "calls", 100, "scope"), ("web/view.ts:View.paint", "web/view.ts:render", "calls", 100, "scope"),
+]
+HELD = [(f"{p}:{q.rpartition('.')[0]}" if "." in q else p, f"{p}:{q}", "contains", 100, "scope") for p, _, q, _, _ in DEFINED]
+FILE_LINKS = [("app.py", "helper.py", "imports", 95, "import"), ("deep.py", "helper.py", "imports", 95, "import"), ("app.py", "helper.py", "references", 55, "cochange"), ("helper.py", "app.py", "references", 55, "cochange")]
+
+
+@query(f"SELECT * FROM ({values(*((p, n, k, u) for p, n, _, k, u in DEFINED))}) t(path, name, kind, parent)")
 def extract_python(spark: SparkSession, sf: str) -> DataFrame:
     u = fixture_units(spark)
     return u["defs"].join(u["files"].select("file_id", "path"), "file_id").select("path", "name", "kind", "parent")
 
 
-@query(None)
+def fixture_edges(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Nodes (path, qualified, kind) of the fixture, and its edges between labels; a file's label is its path."""
+    u = fixture_units(spark)
+    partners = spark.createDataFrame([("app.py", "helper.py", 55), ("app.py", "gone.py", 60)], "a string, b string, conf int")
+    q = extract.qualified(u["defs"]).join(u["files"].select("file_id", "path"), "file_id").join(u["defs"].select("file_id", "def_idx", "kind"), ["file_id", "def_idx"])
+    label = q.select(F.struct("file_id", "def_idx").alias("n"), F.concat_ws(":", "path", "qualified").alias("q"))
+    label = label.unionByName(u["files"].select(F.struct("file_id", F.lit(-1).alias("def_idx")).alias("n"), F.col("path").alias("q")))
+    e = resolve.resolve(u, partners=partners)
+    e = e.join(label.select(F.col("n").alias("src"), F.col("q").alias("sq")), "src").join(label.select(F.col("n").alias("dst"), F.col("q").alias("dq")), "dst")
+    return q.select("path", "qualified", "kind"), e.select(F.col("sq").alias("src"), F.col("dq").alias("dst"), "kind", "conf", "prov")
+
+
+@query(f"SELECT * FROM ({values(*LINKED, *HELD, *FILE_LINKS)}) t(src, dst, kind, conf, prov)")
 def resolve_fixture(spark: SparkSession, sf: str) -> DataFrame:
+    return fixture_edges(spark)[1]
+
+
+@query("SELECT 14 AS total_refs, 10 AS in_repo, 10 AS resolved, 5 AS scope, 3 AS \"import\", 2 AS name_unique, 0 AS name_ambiguous, 0 AS too_ambiguous, 3 AS weak_read, 0 AS builtin, 1 AS external, 13 AS contains, 1.0 AS rate")
+def resolve_tallies(spark: SparkSession, sf: str) -> DataFrame:
     u = fixture_units(spark)
-    name = u["defs"].select(F.struct("file_id", "def_idx").alias("n"), "name")
-    return resolve.resolve(u).join(name.select(F.col("n").alias("src"), F.col("name").alias("caller")), "src", "left").join(name.select(F.col("n").alias("dst"), F.col("name").alias("callee")), "dst").select("caller", "callee", "kind", "conf", "prov")
+    return resolve.outcome_counts(resolve.tiers(u)[1], u["defs"])
 
 
-@query(None)
+@query("SELECT * FROM (VALUES ('app.py', 'helper.py', 'imports', 95), ('deep.py', 'helper.py', 'imports', 95), ('app.py', 'helper.py', 'references', 55), ('helper.py', 'app.py', 'references', 55)) t(src, dst, kind, conf)")
+def file_graph(spark: SparkSession, sf: str) -> DataFrame:
+    files = spark.createDataFrame([(p, p) for p in FIXTURE], "node_id string, path string")
+    return resolve.file_graph(fixture_edges(spark)[1], files)
+
+
+@query(f"""WITH n AS (SELECT * FROM ({values(*((p, q, k) for p, _, q, k, _ in DEFINED))}) t(path, qualified, kind)), e AS (SELECT * FROM ({values(*LINKED, *HELD, *FILE_LINKS)}) t(src, dst, kind, conf, prov)),
+l AS (SELECT concat_ws(' ', 'N', path, qualified, kind) AS line FROM n UNION ALL SELECT concat_ws(' ', 'E', src, dst, kind, CAST(conf AS VARCHAR), prov) FROM e)
+SELECT count(*) AS n_lines, CAST(sum(CAST('0x' || substr(md5(line), 1, 12) AS BIGINT)) AS VARCHAR) AS digest FROM l""")
 def semantic_hash(spark: SparkSession, sf: str) -> DataFrame:
-    u = fixture_units(spark)
-    q = extract.qualified(u["defs"]).join(u["files"].select("file_id", "path"), "file_id").join(u["defs"].select("file_id", "def_idx", "kind"), ["file_id", "def_idx"])
-    label = q.select(F.struct("file_id", "def_idx").alias("n"), F.concat_ws(":", "path", "qualified").alias("q"))
-    e = resolve.resolve(u).join(label.select(F.col("n").alias("src"), F.col("q").alias("sq")), "src").join(label.select(F.col("n").alias("dst"), F.col("q").alias("dq")), "dst").select(F.col("sq").alias("src"), F.col("dq").alias("dst"), "kind", "conf", "prov")
-    return ids.semantic_hash(ids.semantic_lines(q.select("path", "qualified", "kind"), e))
+    return ids.semantic_hash(ids.semantic_lines(*fixture_edges(spark)))
 
 
 @query("SELECT page_id, 'pkg.mod.f' || CAST(page_id AS VARCHAR) AS q, CASE WHEN page_id % 2 = 0 THEN 'a/b.py' ELSE 'c/b.py' END AS p, page_id % 3 <> 0 AS public, CASE WHEN page_id < 60 THEN CAST(page_id AS VARCHAR) || 's' WHEN page_id < 3600 THEN CAST(page_id // 60 AS VARCHAR) || 'm' ELSE CAST(page_id // 3600 AS VARCHAR) || 'h' END AS age FROM pages")
@@ -315,3 +357,66 @@ def scalar_rules(spark: SparkSession, sf: str) -> DataFrame:
     p = S.norm_path(F.when(i % 2 == 0, "./a//b.py").otherwise("c\\b.py"))
     ip = F.when(i % 3 == 0, "192.168.1.7").when(i % 3 == 1, "8.8.8.8").otherwise("172.32.0.1")
     return table(spark, sf, "pages").select("page_id", q.alias("q"), p.alias("p"), S.is_public_v4(ip).alias("public"), S.ago(i).alias("age"))
+
+
+KEY_BYTES = b"a shared secret"
+PAD = lambda x: "".join(f"\\x{b ^ x:02X}" for b in KEY_BYTES.ljust(64, b"\0"))
+
+
+@query(f"""WITH b AS (SELECT conv_id, turn, encode(coalesce(text, '')) AS body FROM conversations),
+m AS (SELECT conv_id, turn, 'sha256=' || sha256('{PAD(0x5C)}'::BLOB || unhex(sha256('{PAD(0x36)}'::BLOB || body))) AS good FROM b),
+h AS (SELECT *, CASE conv_id % 4 WHEN 0 THEN good WHEN 1 THEN upper(good) WHEN 2 THEN replace(good, 'a', 'b') END AS header FROM m)
+SELECT conv_id, turn, coalesce(starts_with(header, 'sha256=') AND lower(header) = good, false) AS verified FROM h""")
+def webhook_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fourth body carries its own signature, the others a shouted, a spoilt and no header."""
+    import hmac
+
+    body = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", body.alias("body"))
+    told = F.udf(lambda x: "sha256=" + hmac.new(KEY_BYTES, x.encode(), "sha256").hexdigest(), "string")("body")
+    k = F.col("conv_id") % 4
+    header = F.when(k == 0, F.col("good")).when(k == 1, F.upper("good")).when(k == 2, F.replace("good", F.lit("a"), F.lit("b")))
+    return rows.withColumn("good", told).withColumn("header", header).select("conv_id", "turn", F.coalesce(S.signed(KEY_BYTES, F.col("body"), F.col("header")), F.lit(False)).alias("verified"))
+
+
+@query("""SELECT page_id, 'group/p' || CAST(page_id % 7 AS VARCHAR) AS full_name, CASE page_id % 4 WHEN 0 THEN 'opened' WHEN 1 THEN 'reopened' WHEN 2 THEN 'labeled' ELSE 'close' END AS action, CAST(CASE WHEN page_id % 5 = 0 THEN 0 ELSE page_id END AS BIGINT) AS number, url AS title,
+  CASE WHEN page_id % 3 = 0 THEN '' ELSE 'text' END AS body, CASE WHEN page_id % 2 = 0 THEN 'ask,other' ELSE '' END AS labels FROM pages WHERE page_id % 11 <> 0""")
+def forge_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Issue events of the other forge, made from pages; every eleventh has no attributes."""
+    i = F.col("page_id")
+    kinds = F.when(i % 4 == 0, "open").when(i % 4 == 1, "reopen").when(i % 4 == 2, "update").otherwise("close")
+    attributes = F.struct(kinds.alias("action"), F.when(i % 5 != 0, i).alias("iid"), F.col("url").alias("title"), F.when(i % 3 != 0, "text").alias("description"))
+    label = lambda x: F.struct(F.lit(x).alias("title"))
+    payload = F.to_json(F.struct(F.struct(F.concat(F.lit("group/p"), (i % 7).cast("string")).alias("path_with_namespace")).alias("project"), F.when(i % 11 != 0, attributes).alias("object_attributes"), F.when(i % 2 == 0, F.array(label("ask"), label("other"))).alias("labels")))
+    rows = table(spark, sf, "pages").select("page_id", S.forge_issue(payload).alias("x")).where("x IS NOT NULL")
+    return rows.select("page_id", "x.full_name", "x.action", "x.number", "x.title", "x.body", F.array_join("x.labels", ",").alias("labels"))
+
+
+@query("""WITH n AS (SELECT s_suppkey AS id, 's.' || CAST(s_suppkey % 50 AS VARCHAR) AS q FROM supplier), e AS (SELECT l_suppkey AS source, l_partkey % 10 + 1 AS target, CASE l_linenumber WHEN 1 THEN 'calls' WHEN 2 THEN 'instantiates' WHEN 3 THEN 'implements' WHEN 4 THEN 'documents' ELSE 'references' END AS k FROM lineitem),
+j AS (SELECT a.q AS sq, b.q AS dq, CASE WHEN k IN ('calls', 'instantiates') THEN 'calls' WHEN k = 'implements' THEN 'extends' ELSE k END AS kind FROM e JOIN n a ON a.id = source JOIN n b ON b.id = target WHERE k <> 'documents')
+SELECT sq, dq, kind, count(*) - 1 AS merged FROM j GROUP BY ALL""")
+def foreign_edges(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources import readers
+
+    nodes = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("s::"), (F.col("s_suppkey") % 50).cast("string")).alias("qualified_name"), F.lit("./a.py").alias("file_path"))
+    n = F.col("l_linenumber")
+    kind = F.when(n == 1, "calls").when(n == 2, "instantiates").when(n == 3, "implements").when(n == 4, "documents").otherwise("references")
+    edges = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 10 + 1).alias("target"), kind.alias("kind"))
+    return readers.foreign_edges(edges, nodes).select("sq", "dq", "kind", "merged")
+
+
+@query(f"""WITH {SQL_JOBS}, left_ AS (SELECT user_id % 50 AS key FROM jobs WHERE CASE WHEN state = 'running' AND k < 40 THEN 'queued' ELSE state END = 'queued' AND id % 97 = 0)
+SELECT 'reanalyse:' || CAST(n_nationkey AS VARCHAR) AS dedupe_key, CAST(n_nationkey AS BIGINT) AS repo_id FROM nation WHERE n_nationkey % 3 <> 0 AND n_nationkey % 2 = 0 AND n_nationkey NOT IN (SELECT key FROM left_)""")
+def periodic_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations are repositories; two of three are ready, even ones ask for re-analysis, and some jobs for it are queued already."""
+    rows = jobs(spark, sf).withColumn("dedupe_key", F.when(F.col("id") % 97 == 0, F.concat(F.lit("reanalyse:"), (F.col("user_id") % 50).cast("string"))))
+    k = F.col("n_nationkey")
+    repos = table(spark, sf, "nation").select(k.cast("long").alias("id"), F.when(k % 3 != 0, "ready").otherwise("new").alias("state"), F.when(k % 2 == 0, '{"reanalyse": 1}').otherwise("{}").alias("config"))
+    return queue.swept(rows, repos, 40, 24)[1].select("dedupe_key", "repo_id")
+
+
+@query("SELECT max(CASE WHEN doc_id = 3 THEN 'delta' END) AS head FROM documents")
+def cache_head(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    head = lambda i, name: d.where(F.col("doc_id") == i).select(F.lit(name).alias("head"))
+    return ids.cached_head(head(2, "base"), head(3, "delta"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import LANGUAGES, extension, language
+from ..functions.scalars import FOREIGN_DEFS, FOREIGN_EDGES, LANGUAGES, extension, language, mapped, norm_path, norm_qual
 
 MAX_FILE_BYTES = 1 << 20
 TRACE = "kind string, cf string, cq string, cl int, df string, dq string, dl int, hops int, n long, f string, q string, flag string, b array<string>, python string, root string"
@@ -20,7 +21,8 @@ def tables(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame
 def source_tree(spark: SparkSession, root: str, ignore: list[str] | None = None, content: bool = True) -> DataFrame:
     """Files of known languages up to 1 MiB, hidden and ignored ones left out: path (below root), dir, ext, lang, size, mtime, content.
 
-    ``ignore`` holds gitignore-like names (`build`, `*.min.js`, `docs/`), applied to every part of the path.
+    ``ignore`` holds gitignore-like names (`build`, `*.min.js`, `docs/`), applied to every part of the path; the tree's own
+    .gitignore files, which are small and read first, apply below their folders, those further down last.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.regexp_replace(F.col("path"), r"^(file:)?/*", "/").substr(F.lit(len(root.rstrip("/")) + 2), F.lit(1 << 20))
@@ -29,6 +31,9 @@ def source_tree(spark: SparkSession, root: str, ignore: list[str] | None = None,
         name = rule.rstrip("/").replace(".", "[.]").replace("*", "[^/]*").lstrip("/")
         anchor = "^" if rule.startswith("/") else "(^|/)"
         rows = rows.where(~F.col("rel").rlike(f"{anchor}{name}(/|$)"))
+    own = raw.where(F.col("path").endswith("/.gitignore") & (F.col("length") <= MAX_FILE_BYTES)).select(rel.alias("rel"), "content").collect()
+    rules = [r for x in sorted(own, key=lambda x: (x["rel"].count("/"), x["rel"])) for r in ignore_rules(bytes(x["content"]).decode("utf-8", "replace"), x["rel"].rpartition("/")[0])]
+    rows = rows.where(not_ignored(F.col("rel"), rules)) if rules else rows
     ext = extension(F.col("rel"))
     rows = rows.where(ext.isin(*LANGUAGES))
     lang = language(F.col("rel"), F.decode("content", "iso-8859-1")) if content else language(F.col("rel"))
@@ -68,7 +73,7 @@ def commit_log(spark: SparkSession, path: str) -> DataFrame:
     records = spark.read.option("lineSep", "\x00").text(path).where("value <> ''")
     lines = F.split("value", "\n")
     head = F.split(F.element_at(lines, 1), "\t")
-    return records.select(F.element_at(head, 1).alias("commit_id"), F.element_at(head, 2).alias("subject"), F.explode(F.filter(F.slice(lines, 2, 1_000_000), lambda x: x != "")).alias("file"))
+    return records.select(F.element_at(head, 1).alias("commit_id"), F.element_at(head, 2).alias("subject"), F.explode(F.filter(F.slice(lines, 2, F.size(lines)), lambda x: x != "")).alias("file"))
 
 
 def traces(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -92,3 +97,43 @@ def workspace_packages(files: DataFrame, manifests: DataFrame) -> DataFrame:
     entry = F.regexp_replace(F.regexp_replace(F.coalesce("m.module", "m.main", F.lit("index")), r"^[.]/", ""), r"[.][^./]+$", "")
     key = F.when((bare == "") | (bare == entry) | bare.isin("src", "src/index", "lib/index"), F.col("m.name")).otherwise(F.concat("m.name", F.lit("/"), bare))
     return own.select(key.alias("key"), "file_id", F.length("pkg").alias("deep"), "path").groupBy("key").agg(F.max_by("file_id", F.struct("deep", -F.col("file_id"))).alias("file_id"))
+
+
+def foreign_nodes(nodes: DataFrame) -> DataFrame:
+    """(id, file, name, kind) of another engine's nodes(id, kind, qualified_name, name, file_path) in our kinds; kinds we don't have are left out."""
+    kind = mapped(F.col("kind"), FOREIGN_DEFS)
+    return nodes.select("id", norm_path(F.col("file_path")).alias("file"), "name", norm_qual(F.col("qualified_name")).alias("qualified"), kind.alias("kind")).where("kind IS NOT NULL")
+
+
+def foreign_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(sf, sq, df, dq, kind, merged) of its edges(source, target, kind) in our kinds and names, each once; merged is how many more there were."""
+    ends = nodes.select("id", norm_path(F.col("file_path")).alias("f"), norm_qual(F.col("qualified_name")).alias("q"))
+    a, b = ends.withColumnsRenamed({"id": "source", "f": "sf", "q": "sq"}), ends.withColumnsRenamed({"id": "target", "f": "df", "q": "dq"})
+    rows = edges.withColumn("kind", mapped(F.col("kind"), FOREIGN_EDGES)).where("kind IS NOT NULL").join(a, "source").join(b, "target")
+    return rows.groupBy("sf", "sq", "df", "dq", "kind").agg((F.count(F.lit(1)) - 1).alias("merged"))
+
+
+def ignore_rules(text: str, folder: str = "") -> list[tuple[str, bool]]:
+    """(pattern over paths below the root, whether it lets the path in again) of a .gitignore's lines, in order."""
+    out = []
+    for line in text.splitlines():
+        rule = line.rstrip()
+        if not rule or rule.startswith("#"):
+            continue
+        again = rule.startswith("!")
+        rule = rule[1:] if again else rule
+        tree, rule = rule.endswith("/"), rule.rstrip("/")
+        held = "/" in rule
+        parts = re.split(r"(\*\*/|/\*\*|\*|\?)", rule.lstrip("/"))
+        body = "".join({"**/": "(.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}.get(x, re.escape(x)) for x in parts)
+        top = f"{re.escape(folder)}/" if folder else ""
+        out.append((f"^{top}{'' if held else '(.*/)?'}{body}{'/' if tree else '(/|$)'}", again))
+    return out
+
+
+def not_ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
+    """Whether the last rule that speaks of a path lets it in."""
+    out = F.lit(True)
+    for pattern, again in rules:
+        out = F.when(path.rlike(pattern), F.lit(again)).otherwise(out)
+    return out

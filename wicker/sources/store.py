@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ids import compaction, overlay
+from ..operators.iterate import settled
 
 
 def write_graph(folder: str, tables: dict[str, DataFrame], buckets: int | None = None) -> None:
@@ -58,14 +59,15 @@ def dump_edges(edges: DataFrame, folder: str) -> None:
 
 
 def symbols(nodes: DataFrame, *columns: str) -> DataFrame:
-    """(sym_id, text): all strings of the columns in order, numbered from 0 by ranges of their first characters."""
+    """(sym_id, text): all strings of the columns in order, numbered from 0 by sorted ranges of even size."""
     from pyspark.sql import Window as W
 
     text = None
     for c in columns:
         one = nodes.select(F.col(c).alias("text")).where("text IS NOT NULL")
         text = one if text is None else text.unionByName(one)
-    part = text.distinct().withColumn("head", F.substring("text", 1, 2))
-    totals = part.groupBy("head").agg(F.count(F.lit(1)).alias("t"))
-    before = totals.withColumn("base", F.coalesce(F.sum("t").over(W.orderBy("head").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("head", "base")
-    return part.join(before, "head").select((F.col("base") + F.row_number().over(W.partitionBy("head").orderBy("text")) - 1).alias("sym_id"), "text")
+    # sorted ranges, numbered inside; the ranges' totals, one row a partition, give the rest
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    part = settled(text.distinct().repartitionByRange("text").sortWithinPartitions("text").select("text", F.spark_partition_id().alias("p"), place.alias("i")))
+    before = part.groupBy("p").agg(F.count(F.lit(1)).alias("t")).withColumn("base", F.coalesce(F.sum("t").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return part.join(before, "p").select((F.col("base") + F.col("i")).alias("sym_id"), "text")
