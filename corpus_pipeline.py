@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents. Each one's rows are written as
 Parquet to shared storage and read again by the next, so a lost executor costs at most the stage at hand.
+
+Stages decide on rows, not on ids: rows that share an id stay or go by their own texts. Defined results: a null or empty text
+has no evidence of toxicity and stays in stage 1, has no letter and goes in stage 2; a null id stays in stage 3 and is left
+whole by stage 4; of rows that are equal in id and text one stays in stage 3; ties go to the smaller id; null languages teach
+nothing, null sources conflict with nothing; an empty table gives an empty packing; other columns, whatever their names, are
+kept as they are until stage 5.
 """
 
 from __future__ import annotations
@@ -19,15 +25,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unclear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a calibrated probability of 0.5 or more."""
+    """Documents whose language is told with a probability that reaches the calibrated threshold."""
     return langid.accepted(docs, langid.trained(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    found = simhash.near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id."""
+    return simhash.survivors(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
