@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,23 +34,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def local_path(uri: str) -> str:
-    """The path that Python opens for a folder of the shared file system."""
-    return uri[len("file:") :].replace("//", "/", 1) if uri.startswith("file:") else uri
+    """The path that Python opens for a folder of a file system that every executor has mounted; others are refused."""
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", uri)
+    if scheme and scheme[1] != "file":
+        raise ValueError(f"{uri} is no mounted path: files that Python maps into memory need file: or a plain path")
+    return "/" + uri[5:].lstrip("/") if scheme else uri
 
 
 #: Drops an execution's shuffle files once it has ended; what it wrote is on shared storage by then.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _writing = threading.Lock(), []
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """df written to shared storage and read back: cuts lineage, survives lost executors and frees the disk of its shuffles."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    with _lock:  # writes may run side by side: the first sets, the last puts back
+        if not _writing:
+            _writing.append(spark.conf.get(CLEANUP, "false"))
+            spark.conf.set(CLEANUP, "true")
+        _writing.append(path)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        with _lock:
+            _writing.remove(path)
+            if len(_writing) == 1:
+                spark.conf.set(CLEANUP, _writing.pop())
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_in = path
     return out
@@ -70,13 +82,13 @@ def integers(df: DataFrame, column: str) -> None:
 
 
 def texts_of(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string array, nulls as empty; offsets start at 0."""
+    """(bytes, offsets) of a string or binary array, nulls as empty; offsets start at 0."""
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
+    raw = pa.types.is_binary(array.type) or pa.types.is_large_binary(array.type)
     if array.null_count:
-        array = array.fill_null("")
-    if not pa.types.is_large_string(array.type):
-        array = array.cast(pa.large_string())
+        array = array.fill_null(b"" if raw else "")
+    array = array.cast(pa.large_binary() if raw else pa.large_string())
     n = len(array)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

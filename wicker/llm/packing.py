@@ -83,10 +83,10 @@ def shard_bins(rows: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFra
     return pd.DataFrame({"doc_id": rows["doc_id"], "piece": rows["piece"], "first_word": rows["first_word"], "n_words": rows["size"], "bin_id": [base + b for b, _ in place], "bin_offset": [o for _, o in place]})
 
 
-def packed(rows: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, id_col: str = "doc_id", size_col: str = "words", source_col: str = "source", cluster_col: str = "cluster") -> DataFrame:
-    """One row for each piece: doc_id, piece, first_word, n_words, bin_id, bin_offset."""
+def packed(rows: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, id_col: str = "doc_id", size_col: str = "words", source_col: str = "source", cluster_col: str = "cluster", n_rows: int | None = None) -> DataFrame:
+    """One row for each piece: doc_id, piece, first_word, n_words, bin_id, bin_offset. n_rows spares a count of rows that are dear to make."""
     kind = dict(rows.dtypes)[id_col]
-    shards = max(1, -(-rows.count() // SHARD))
+    shards = max(1, -(-(rows.count() if n_rows is None else n_rows) // SHARD))
     base = rows.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("words"), F.col(source_col).alias("source"), F.col(cluster_col).alias("cluster"))
     full = F.floor(F.col("words") / capacity).cast("int")
     pieces = full + F.when((F.col("words") % capacity > 0) | (F.col("words") == 0), 1).otherwise(0)
