@@ -214,3 +214,150 @@ def test_clustered_null_equals_a_direct_shuffle(spark):
     assert abs(got["p"] * 4001 - round(got["p"] * 4001)) < 1e-6
     flat = evaluate.clustered_null(spark.createDataFrame([("a", 1, True), ("b", 2, False), ("c", 3, True)], "stratum string, level int, ok boolean")).first()
     assert (flat["mean"], flat["sd"], flat["p"], flat["informative"]) == (0, 0, 1, 0)
+
+
+def test_extraction_of_python_details():
+    u = extract.extract_text("import a.b as c\nx, (y) = 1, 2\nz: int = 3\nclass K(Base[T]):\n    f: str\n    def go(self):\n        return self.f + c.thing\n", "python")
+    assert [d["name"] for d in u["defs"] if d["kind"] == "variable"] == ["x", "y", "z", "f"]
+    refs = {(r["name"], r["kind"], r["recv"], r["recv_name"]) for r in u["refs"]}
+    assert {("Base", "extends", "bare", None), ("T", "read", "bare", None), ("f", "read", "self", "self"), ("thing", "read", "other", "c")} <= refs
+    assert u["aliases"] == [{"local": "c", "original": "a.b"}]
+    ts = extract.extract_text("import * as ns from './lib';\n", "typescript")
+    assert {"local": "ns", "original": "./lib"} in ts["aliases"]
+
+
+def test_super_looks_in_the_bases_first(spark):
+    files = {f"m{i}.py": f"class T{i}:\n    def handle(self):\n        pass\n" for i in range(12)}
+    files |= {"base/b.py": "class Base:\n    def handle(self):\n        pass\n", "z.py": "class Child(Base):\n    def handle(self):\n        super().handle()\n"}
+    got = edges_of(spark, files)
+    assert got["handle", "handle", "calls"] == (80, "name")
+    u = units(spark, files)
+    paths = {r["file_id"]: r["path"] for r in u["files"].collect()}
+    calls = [(paths[r["src"]["file_id"]], paths[r["dst"]["file_id"]]) for r in resolve.resolve(u).where("kind = 'calls'").collect()]
+    assert calls == [("z.py", "base/b.py")]
+
+
+def test_imports_by_path_package_and_shadow(spark):
+    f = spark.createDataFrame([(0, "src/web/a.ts", "src/web", "typescript"), (1, "src/lib/b.ts", "src/lib", "typescript"), (2, "pkg/core/src/index.ts", "pkg/core/src", "typescript"), (3, "app/json.py", "app", "python"), (4, "lib/thing.rs", "lib", "rust")], "file_id int, path string, dir string, lang string")
+    manifests = spark.createDataFrame([("pkg/core/package.json", '{"name": "@acme/core"}')], "path string, content string")
+    keys = resolve.module_keys(f, readers.workspace_packages(f, manifests))
+    assert "json" not in {r["key"] for r in keys.collect()}
+    imports = spark.createDataFrame([(0, 0, "../lib/b", "typescript", "src/web"), (0, 1, "@acme/core", "typescript", "src/web"), (3, 2, "json", "python", "app"), (1, 3, "crate::lib::thing::Def", "rust", "src/lib")], "file_id int, imp_idx int, module string, lang string, dir string")
+    assert {r["imp_idx"]: r["target"] for r in resolve.import_targets(imports, keys).collect()} == {0: 1, 1: 2, 3: 4}
+
+
+def test_ids_of_the_star_graph_never_meet(spark):
+    from wicker.plans import bindings as B
+
+    kinds = [(k, i) for k in B.KINDS for i in (1, 7, 1_500_000, 999_999, 10**12)]
+    assert len({B.number(k, i) for k, i in kinds}) == len(kinds)
+    df = spark.createDataFrame([(i,) for _, i in kinds], "i long")
+    assert sorted(r[0] for r in df.distinct().select(B.node("part", "i")).collect()) == sorted({B.number("part", i) for _, i in kinds})
+
+
+def test_prefix_sums_and_numbers(spark):
+    from wicker.operators import iterate
+
+    keys = [-5000, -1, 0, 3, 4095, 4096, 9000, 20_000_000, 20_000_001]
+    rows = spark.createDataFrame([(g, k, i + 1) for g in ("a", None) for i, k in enumerate(keys)], "g string, k long, v int")
+    got = {(r["g"], r["k"]): r["s"] for r in iterate.prefix_sums(rows, "k", "v", "s", ["g"]).collect()}
+    assert got == {(g, k): sum(range(i + 1)) for g in ("a", None) for i, k in enumerate(keys)}
+    assert sorted(r["no"] for r in evaluate.numbered_from_zero(rows.where("g = 'a'"), "k").collect()) == list(range(9))
+
+
+def test_sign_test_and_bootstrap(spark):
+    from math import comb
+
+    for better, worse in ((0, 0), (3, 1), (60, 40), (1000, 1100)):
+        n, k = better + worse, min(better, worse)
+        want = min(1.0, 2 * sum(comb(n, i) for i in range(k + 1)) / 2**n) if n else 1.0
+        got = evaluate.sign_test(spark.createDataFrame([(better, worse)], "better long, worse long")).first()["p"]
+        assert abs(got - want) < 1e-6
+    rows = spark.createDataFrame([(c, float(c % 3)) for c in range(12) for _ in range(c + 1)], "cluster int, value double")
+    r = evaluate.cluster_bootstrap(rows, 500).first()
+    mean = sum(c % 3 * (c + 1) for c in range(12)) / sum(range(1, 13))
+    assert abs(r["mean"] - mean) < 1e-9 and r["low"] < mean < r["high"] and 0.3 < r["high"] - r["low"] < 1.4
+
+
+def test_signatures_and_gitignore(spark, tmp_path):
+    import hmac
+
+    for key in (b"k", b"x" * 100):
+        body, good = "some body \u00e9", "sha256=" + hmac.new(key, "some body \u00e9".encode(), "sha256").hexdigest()
+        r = one(spark, a=S.signed(key, F.lit(body), F.lit(good)), b=S.signed(key, F.lit(body), F.lit(good[:-1] + "0")), c=S.signed(key, F.lit(body), F.lit(good[7:])))
+        assert (r["a"], r["b"], r["c"]) == (True, good.endswith("0"), False)
+    for folder in ("src/gen", "src/keep", "docs"):
+        (tmp_path / folder).mkdir(parents=True)
+    (tmp_path / ".gitignore").write_text("# made\ngen/\n*.min.js\n/docs\n!src/keep/a.min.js\n")
+    (tmp_path / "src" / ".gitignore").write_text("only.py\n")
+    for name in ("src/a.py", "src/only.py", "src/gen/b.py", "src/x.min.js", "src/keep/a.min.js", "docs/d.py", "only.py"):
+        (tmp_path / name).write_text("x = 1\n")
+    assert {r["path"] for r in readers.source_tree(spark, str(tmp_path)).collect()} == {"src/a.py", "src/keep/a.min.js", "only.py"}
+
+
+def test_self_calls_without_recursion(spark):
+    nodes = spark.createDataFrame([(1, "function", "py", False, "go", "def go(x):\n    x.go()\n"), (2, "function", "py", False, "run", "def run():\n    return run()\n")], "node_id long, kind string, family string, vendored boolean, name string, body string")
+    edges = spark.createDataFrame([(1, 1, "calls", 100, "scope"), (2, 2, "calls", 100, "scope"), (1, 2, "calls", 80, "name")], "src long, dst long, kind string, conf int, prov string")
+    assert {(r["src"], r["dst"]): r["call_without_recursion"] for r in graph.falsified(edges, nodes).collect()} == {(1, 1): True, (2, 2): False, (1, 2): False}
+
+
+def test_cochange_is_kept_and_becomes_edges(spark, tmp_path):
+    pairs = spark.createDataFrame([("a.py", "b.py", 4, 52), ("a.py", "gone.py", 5, 55)], "a string, b string, n long, conf int")
+    cochange.write(str(tmp_path / "co"), pairs, "abc")
+    assert cochange.read(spark, str(tmp_path / "co"), {"abc": (20, 6)}) is None and cochange.read(spark, str(tmp_path / "co"), {}) is None
+    kept = cochange.read(spark, str(tmp_path / "co"), {"abc": (20, 5)})
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, pairs.collect()))
+    files = spark.createDataFrame([("a.py", 1), ("b.py", 2)], "path string, node_id long")
+    assert sorted(tuple(r) for r in cochange.edges(kept, files).collect()) == [(1, 2, "references", 52, "cochange"), (2, 1, "references", 52, "cochange")]
+
+
+def test_heads_of_caches(spark):
+    head = lambda *x: spark.createDataFrame([(v,) for v in x], "head string")
+    assert [ids.cached_head(head(*b), head(*d)).first()["head"] for b, d in ((("x",), ("y",)), (("x",), ()), (("x",), ("",)), ((), ()))] == ["y", "x", "x", None]
+
+
+def test_written_once_until_the_source_changes(spark, tmp_path):
+    from wicker.operators import iterate
+
+    source, made = str(tmp_path / "t.parquet"), []
+    spark.range(3).write.parquet(source)
+
+    def build(folder):
+        made.append(folder)
+        spark.read.parquet(source).write.parquet(folder)
+
+    first = iterate.written_once(spark, "t", [source], build)
+    assert iterate.written_once(spark, "t", [source], build) == first and len(made) == 1
+    spark.range(5).write.mode("overwrite").parquet(source)
+    assert spark.read.parquet(iterate.written_once(spark, "t", [source], build)).count() == 5 and len(made) == 2
+
+
+def test_explore_keeps_seeds_and_the_path(spark):
+    from wicker.operators import answers
+
+    nodes = spark.createDataFrame([(i, f"n{i}", "function", 0, "a.py", 100 * i) for i in range(1, 8)], "node_id long, name string, kind string, file_id long, path string, size int")
+    edges = spark.createDataFrame([(1, 2, "calls", 80, "name"), (2, 3, "calls", 80, "name"), (4, 1, "calls", 100, "scope"), (5, 6, "calls", 100, "scope")], "src long, dst long, kind string, conf int, prov string")
+    owners = spark.createDataFrame([], "node_id long, owner string")
+    got = {r["node_id"]: (r["why"], r["score"]) for r in answers.explore(nodes, edges, owners, ["n3", "n1"], 25, 10_000).collect()}
+    assert got == {1: ("seed", 1.0), 3: ("seed", 1.0), 2: ("on-path", 0.9), 4: ("caller", 0.6)}
+    assert {r["node_id"] for r in answers.explore(nodes, edges, owners, ["n3", "n1"], 25, 0).collect()} == {1, 3}
+    assert answers.node_answer(nodes, edges, edges, owners, "nothing").count() == 0
+
+
+def test_patches_are_cleaned(spark):
+    diff = "--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@\n-a\n+b\n "
+    r = one(spark, a=S.clean_patch(F.lit("```diff\nnote\n" + diff + "\n\n```\n")), b=S.clean_patch(F.lit(diff + "\n\n")), c=S.clean_patch(F.lit(" nothing here \n")), d=S.clean_patch(F.lit("```\n--- a/x\r\n+++ b/x\r\n\r\n")))
+    assert r["a"] == r["b"] == diff + "\n" and r["c"] == "nothing here" and r["d"] == "--- a/x\r\n+++ b/x\n"
+
+
+def test_pieces_of_source(spark):
+    code = "# é\nclass A:\n    def go(self):\n        pass\n".encode()
+    at = code.index(b"def go")
+    nodes = spark.createDataFrame([(1, "method", 0, at, len(code)), (2, "module", 0, 0, len(code)), (3, "method", 0, at, len(code)), (4, "class", 0, code.index(b"class"), len(code))], "node_id long, kind string, file_id int, start int, end int")
+    files = spark.createDataFrame([(0, bytearray(code))], "file_id int, content binary")
+    items = spark.createDataFrame([("q", 1, 1), ("q", 2, 2), ("q", 3, 3), ("q", 4, 4)], "q string, rank int, node_id long")
+    pieces = select.source_pieces(items, nodes, files, "q", 40)
+    got = {r["rank"]: (r["size"], r["text"]) for r in pieces.collect()}
+    assert set(got) == {1, 3, 4} and got[1][1] == "    def go(self):\n        pass\n" and got[4][0] == 40
+    kept = select.emit_budget(pieces, "q", 10_000).collect()
+    assert sorted(r["rank"] for r in kept) == [1, 4]

@@ -122,6 +122,16 @@ def split_confidence(text: Column) -> tuple[Column, Column]:
     return F.when(F.size(said) > 0, last).otherwise("medium"), F.array_join(F.filter(lines, lambda x: ~x.rlike(CONFIDENCE_LINE)), "\n")
 
 
+def clean_patch(answer: Column) -> Column:
+    """The unified diff in an answer: without its fence, without what stands before the first file header and without empty
+    lines at the end; a last line of one space is context and stays, and the diff ends in one newline."""
+    bare = F.regexp_replace(answer, r"^\s*(```(diff|patch)?)?", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"[\r\n]+$", ""), r"(```)+$", "")
+    at = F.instr(bare, "--- ")
+    diff = F.regexp_replace(bare.substr(at, F.length(bare)), r"(\r?\n)(\r?\n|\r$)*$", "")
+    return F.when(at > 0, F.concat(diff, F.lit("\n"))).otherwise(F.regexp_replace(bare, r"^\s+|\s+$", ""))
+
+
 def touched_files(patch: Column) -> Column:
     """Files that a unified diff writes."""
     found = F.regexp_extract_all(patch, F.lit(r"(?m)^\+\+\+ (?:b/)?([^\t\r\n]+)"), 1)

@@ -96,16 +96,41 @@ class PythonUnit(ast.NodeVisitor):
                 self.refer(x, x.id, "extends")
             elif isinstance(x, ast.Attribute):
                 self.refer(x, x.attr, "extends", "other", x.value.id if isinstance(x.value, ast.Name) else None)
+            elif isinstance(x, ast.Subscript):  # Base[T]: the base, and T is only mentioned
+                self.refer(x.value, x.value.id if isinstance(x.value, ast.Name) else getattr(x.value, "attr", "?"), "extends")
+                self.visit(x.slice)
         self.scope.pop()
+        for x in (*node.decorator_list, *(k.value for k in node.keywords)):
+            self.visit(x)
         self.body(node, index)
 
     def visit_Assign(self, node: ast.Assign) -> None:
         if self.inside is None or self.defs[self.inside]["kind"] == "class":
-            for x in node.targets:
-                if isinstance(x, ast.Name):
-                    self.define(x, x.id, "variable")
+            for target in node.targets:
+                for x in target.elts if isinstance(target, (ast.Tuple, ast.List)) else [target]:
+                    x = x.value if isinstance(x, ast.Starred) else x
+                    if isinstance(x, ast.Name):
+                        self.define(x, x.id, "variable")
+        for target in node.targets:
+            if isinstance(target, (ast.Attribute, ast.Subscript)):
+                self.visit(target.value)
         self.visit(node.value)
 
+    def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
+        if (self.inside is None or self.defs[self.inside]["kind"] == "class") and isinstance(node.target, ast.Name):
+            self.define(node.target, node.target.id, "variable")
+        self.visit(node.annotation)
+        if node.value is not None:
+            self.visit(node.value)
+
+    def visit_Attribute(self, node: ast.Attribute) -> None:
+        """A mention of a member that no call or base list has used."""
+        v = node.value
+        how = "self" if isinstance(v, ast.Name) and v.id in ("self", "cls") else "other"
+        self.refer(node, node.attr, "read", how, v.id if isinstance(v, ast.Name) else None)
+        if how == "other":
+            self.visit(v)
+
     def visit_Call(self, node: ast.Call) -> None:
         f = node.func
         if isinstance(f, ast.Name):
@@ -186,6 +211,7 @@ def braces(text: str, lang: str) -> dict:
         if m and re.match(r"\s*(import|use|#include|from|using|.*require\()", line):
             imports.append({"imp_idx": len(imports), "module": m.group(1)})
             aliases += [{"local": b, "original": a} for a, b in re.findall(r"(\w+)\s+as\s+(\w+)", line)]
+            aliases += [{"local": b, "original": m.group(1)} for b in re.findall(r"\*\s+as\s+(\w+)", line)]
         held = scope is not None and defs[scope]["kind"] in ("class", "interface")
         found = None
         for kind, pattern in (("type", TYPE), ("func", FUNC), ("func", ARROW), ("method", METHOD), ("variable", CONST)):

@@ -53,3 +53,19 @@ def emit_budget(pieces: DataFrame, group: str, budget: int, overhead: int = 32)
     folded = once.groupBy(group).agg(rows.alias("rows")).withColumn("s", F.aggregate("rows", start, step))
     kept = folded.select(group, F.explode(F.filter("rows", lambda x: F.array_contains(F.col("s.ranks"), x["rank"]))).alias("x"))
     return kept.select(group, "x.rank", "x.item", "x.size")
+
+
+def source_pieces(items: DataFrame, nodes: DataFrame, files: DataFrame, group: str, cap: int = 2400) -> DataFrame:
+    """Pieces(group, rank, item, size, text) for emit_budget of ranked items(group, rank, node_id): what stands in the files.
+
+    nodes(node_id, kind, file_id, start, end) in bytes, files(file_id, content). Modules have no piece; a piece begins where its
+    first line does, is cut at ``cap`` bytes, and is known by its file and span, so that two nodes of one span give one.
+    """
+    where = items.select(group, "rank", "node_id").join(nodes.where("kind <> 'module'").select("node_id", "file_id", "start", "end"), "node_id")
+    text = F.decode("content", "ISO-8859-1")  # a character a byte
+    before = F.substring_index(text.substr(F.lit(1), F.col("start")), "\n", -1)
+    begin = F.col("start") - F.length(before)
+    size = F.least(F.col("end") - begin, F.lit(cap)).cast("long")
+    piece = F.decode(F.encode(text.substr((begin + 1).cast("int"), size.cast("int")), "ISO-8859-1"), "UTF-8")
+    item = F.concat_ws(":", F.col("file_id").cast("string"), F.col("start").cast("string"), F.col("end").cast("string"))
+    return where.join(files.select("file_id", "content"), "file_id").select(group, "rank", item.alias("item"), size.alias("size"), piece.alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 
@@ -31,8 +32,8 @@ def source_tree(spark: SparkSession, root: str, ignore: list[str] | None = None,
         name = rule.rstrip("/").replace(".", "[.]").replace("*", "[^/]*").lstrip("/")
         anchor = "^" if rule.startswith("/") else "(^|/)"
         rows = rows.where(~F.col("rel").rlike(f"{anchor}{name}(/|$)"))
-    own = raw.where(F.col("path").endswith("/.gitignore") & (F.col("length") <= MAX_FILE_BYTES)).select(rel.alias("rel"), "content").collect()
-    rules = [r for x in sorted(own, key=lambda x: (x["rel"].count("/"), x["rel"])) for r in ignore_rules(bytes(x["content"]).decode("utf-8", "replace"), x["rel"].rpartition("/")[0])]
+    own = sorted(ignore_files(spark, root).items(), key=lambda x: (x[0].count("/"), x[0]))
+    rules = [r for path, text in own for r in ignore_rules(text, path.rpartition("/")[0])]
     rows = rows.where(not_ignored(F.col("rel"), rules)) if rules else rows
     ext = extension(F.col("rel"))
     rows = rows.where(ext.isin(*LANGUAGES))
@@ -113,6 +114,24 @@ def foreign_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("sf", "sq", "df", "dq", "kind").agg((F.count(F.lit(1)) - 1).alias("merged"))
 
 
+def ignore_files(spark: SparkSession, root: str) -> dict[str, str]:
+    """The .gitignore files below a folder, by path; Spark's readers pass over names that begin with a dot."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getScheme() == "file":
+        found = [os.path.join(at, ".gitignore") for at, _, names in os.walk(root.removeprefix("file:")) if ".gitignore" in names]
+        return {os.path.relpath(x, root.removeprefix("file:")).replace(os.sep, "/"): open(x, encoding="utf-8", errors="replace").read() for x in found}  # noqa: SIM115
+    out, listed = {}, files.listFiles(path, True)
+    base = files.getFileStatus(path).getPath().toString().rstrip("/") + "/"
+    while listed.hasNext():
+        at = listed.next().getPath()
+        if at.getName() == ".gitignore":
+            stream = files.open(at)
+            out[at.toString().removeprefix(base)] = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+    return out
+
+
 def ignore_rules(text: str, folder: str = "") -> list[tuple[str, bool]]:
     """(pattern over paths below the root, whether it lets the path in again) of a .gitignore's lines, in order."""
     out = []
