@@ -2,10 +2,13 @@
 
 1. ``char_model`` counts character trigrams over every document (the table is bounded by the alphabet, not by the data).
 2. ``Channel`` spells out, for a word or a run of single characters, the lattice of what may have been meant - letters
-   for look-alike symbols, nothing for separators and for repeats of a letter, a border for a symbol kept - and Viterbi
-   decoding under the trigram model picks the likeliest reading. A word without such characters has one path: itself.
+   for look-alike symbols, nothing for separators and for repeats of a letter (a second one at a price, more of them almost
+   free), a border for a symbol kept - and Viterbi decoding under the trigram model picks the likeliest reading. A word
+   without such characters has one path: itself. Two neighbours of up to four letters are also read as one word where the
+   model finds that likelier than the two apart (``joined``).
 3. ``fit`` learns a logistic model over words and word beginnings of the restored texts from labelled rows, at most
-   ``TOXIC_SAMPLE`` and ``CLEAN_SAMPLE`` of them (the ones with the smallest hashed ids).
+   ``TOXIC_SAMPLE`` and ``CLEAN_SAMPLE`` of them (the ones with the smallest hashed ids); its intercept is then moved to the
+   two classes' true shares, which one aggregate over all labels gives, so that a score doesn't depend on the caps.
 4. ``scores`` restores and scores every whole text. Text is the only input.
 
 Defined results: null and empty texts score as texts without evidence (the model's intercept); repeated rows and ids are
@@ -41,7 +44,9 @@ LOOKALIKES = {
     "+": "t", "(": "c", "<": "c", "{": "c", "[": "c", "¡": "i", "€": "e", "£": "l", "¢": "c", "%": "o", "*": "aeiou", "#": "h", "?": "o", "&": "e",
 }
 SEPARATORS = set(" .-_*~'`,:;/\\=·•​‌‍⁠­﻿")
-LOOK, KEEP, SPLIT, REPEAT = math.log(0.3), math.log(0.0002), math.log(0.4), math.log(0.9)
+LOOK, KEEP, SPLIT, REPEAT, DOUBLE = math.log(0.3), math.log(0.0002), math.log(0.4), math.log(0.9), math.log(0.01)
+#: Letters of the neighbours that may be one word.
+SHORT = 4
 
 
 def class_of(c: str) -> int:
@@ -104,13 +109,14 @@ class Channel:
 
     def __init__(self, model: np.ndarray):
         self.lm = model.ravel().tolist()
+        self.table = model
         self.memo: dict[str, str] = {}
 
     @staticmethod
     def noisy(word: str) -> bool:
         """Whether the lattice of the word has more than one path."""
         if word.isalpha():
-            return any(word[i] == word[i - 1] == word[i - 2] for i in range(2, len(word)))
+            return any(word[i] == word[i - 1] for i in range(1, len(word)))
         return any(c.isalpha() for c in word) or sum(c in LOOKALIKES for c in word) > 2
 
     def restore(self, word: str) -> str:
@@ -122,14 +128,15 @@ class Channel:
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for i, c in enumerate(word):
             ways: list[tuple[int, str, float]] = []
-            run = i > 0 and word[i - 1] == c and (i > 1 and word[i - 2] == c or i + 1 < len(word) and word[i + 1] == c)
+            twice = i > 0 and word[i - 1] == c
+            run = twice and (i > 1 and word[i - 2] == c or i + 1 < len(word) and word[i + 1] == c)
             if c.isalpha():
                 ways.append((class_of(c), c, 0.0))
             else:
                 ways += [(class_of(x), x, LOOK) for x in LOOKALIKES.get(c, "")]
                 ways.append((0, " ", KEEP if c in LOOKALIKES else SPLIT))
-            if run or c in SEPARATORS:
-                ways.append((-1, "", REPEAT if run else SPLIT))
+            if twice and c.isalpha() or run or c in SEPARATORS:
+                ways.append((-1, "", REPEAT if run else DOUBLE if twice and c.isalpha() else SPLIT))
             new: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (s, text) in states.items():
                 for k, x, cost in ways:
@@ -162,7 +169,7 @@ def restored_words(texts: pa.Array, channel: Channel) -> tuple[np.ndarray, np.nd
     clean = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False)
     bare = pc.equal(pc.binary_length(core), pc.binary_length(distinct)).to_numpy(zero_copy_only=False)
     short = pc.less_equal(pc.utf8_length(pc.utf8_rtrim(distinct, ".,;:!?")), 1).to_numpy(zero_copy_only=False)
-    thrice = pc.match_substring_regex(core, TRIPLE).to_numpy(zero_copy_only=False)
+    twice = pc.match_substring_regex(core, DOUBLED).to_numpy(zero_copy_only=False)
     names: dict[str, int] = {}
     plain = core.dictionary_encode()
     for x in plain.dictionary.to_pylist():
@@ -170,8 +177,12 @@ def restored_words(texts: pa.Array, channel: Channel) -> tuple[np.ndarray, np.nd
     lists: list[tuple[int, ...]] = []
     as_is = plain.indices.to_numpy()
     extra: dict[int, tuple[int, ...]] = {}
-    odd = np.flatnonzero(~clean | thrice | ~(bare | pc.match_substring_regex(distinct, PLAIN).to_numpy(zero_copy_only=False)))
-    for i, x in zip(odd.tolist(), distinct.take(pa.array(odd)).to_pylist()):
+    usual = clean & (bare | pc.match_substring_regex(distinct, PLAIN).to_numpy(zero_copy_only=False))
+    letters, ends = classes(*texts_of(core))
+    odd = ~usual
+    odd[np.flatnonzero(usual & twice)] = worth_decoding(letters, ends, np.flatnonzero(usual & twice), channel.table)
+    for i, x, own in zip(np.flatnonzero(odd).tolist(), distinct.filter(pa.array(odd)).to_pylist(), core.filter(pa.array(odd)).to_pylist()):
+        x = own if usual[i] else x
         if Channel.noisy(x):
             words = {y for y in channel.restore(x).split() if len(y) > 2}
             extra[i] = tuple(names.setdefault(y, len(names)) for y in sorted(words))
@@ -201,12 +212,54 @@ def restored_words(texts: pa.Array, channel: Channel) -> tuple[np.ndarray, np.nd
             words = sorted({y for y in channel.restore(run).split() if len(y) > 2})
             out_doc.append(np.full(len(words), doc[a]))
             out_code.append(np.array([names.setdefault(y, len(names)) for y in words], np.int64))
+    # neighbours of a few letters each that are likelier one word, the lost border at a separator's cost
+    size = np.diff(ends)
+    brief = clean & (size > 0) & (size <= SHORT)
+    pair = np.flatnonzero(brief[codes[:-1]] & brief[codes[1:]] & ~edge[1:-1]) if len(codes) else np.zeros(0, np.int64)
+    left, right = codes[pair], codes[pair + 1] if len(pair) else codes[pair]
+    gain = one_word(letters, ends, left, right, channel.table) + SPLIT
+    good = (gain > 0) & (size[left] + size[right] > 3)
+    kinds, which = np.unique(left[good].astype(np.int64) * len(distinct) + right[good], return_inverse=True)
+    firsts, seconds = (core.take(pa.array(x)).to_pylist() for x in (kinds // max(1, len(distinct)), kinds % max(1, len(distinct))))
+    read = np.array([names.setdefault(x + y, len(names)) for x, y in zip(firsts, seconds)], np.int64)
+    out_doc.append(doc[pair[good]])
+    out_code.append(read[which] if len(read) else read)
     return np.concatenate(out_doc), np.concatenate(out_code).astype(np.int64), list(names)
 
 
+def near_by(c: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Classes at the given places, 0 (a border) outside of their words."""
+    return np.where((at >= start) & (at < end), c[np.clip(at, 0, max(0, len(c) - 1))], 0) if len(c) else np.zeros(len(at), np.int64)
+
+
+def worth_decoding(c: np.ndarray, ends: np.ndarray, words: np.ndarray, lm: np.ndarray) -> np.ndarray:
+    """Of words with a doubled letter, those that the model finds likelier without one, at its price, or that have three in a row.
+
+    The trigrams around the letter say so; in all other words Viterbi decoding would keep every letter.
+    """
+    size = np.diff(ends)[words]
+    start = np.repeat(ends[words], size)
+    at, stop, own = spread(ends[words], size), np.repeat(ends[words + 1], size), np.repeat(np.arange(len(words)), size)
+    x = [near_by(c, at + k, start, stop).astype(np.int64) for k in range(-2, 3)]
+    twice = (x[1] == x[2]) & (x[2] > 0)
+    inside = x[3] > 0
+    old = lm[x[0], x[1], x[2]] + lm[x[1], x[2], x[3]] + np.where(inside, lm[x[2], x[3], x[4]], 0)
+    new = lm[x[0], x[1], x[3]] + np.where(inside, lm[x[1], x[3], x[4]], 0)
+    good = twice & ((new - old + DOUBLE > 0) | (x[0] == x[2]))
+    return np.bincount(own[good], minlength=len(words)) > 0
+
+
+def one_word(c: np.ndarray, ends: np.ndarray, left: np.ndarray, right: np.ndarray, lm: np.ndarray) -> np.ndarray:
+    """How much likelier each two words are as one word than apart: only the trigrams over their border differ."""
+    s, e, t, u = ends[left], ends[left + 1], ends[right], ends[right + 1]
+    p, q = near_by(c, e - 2, s, e).astype(np.int64), near_by(c, e - 1, s, e).astype(np.int64)
+    x, y = near_by(c, t, t, u).astype(np.int64), near_by(c, t + 1, t, u).astype(np.int64)
+    return lm[p, q, x] + lm[q, x, y] - lm[p, q, 0] - lm[q, 0, x] - lm[0, x, y]
+
+
 #: Words of letters between usual punctuation; three or more of one symbol at the end are a border, not letters.
 PLAIN = r"^[^[:punct:]]+[.,;:!?)\"']*(" + "|".join(f"\\{c}{{3,}}" for c in "$&%*#@!~=_+-") + r")?[.,;:!?)\"']*$"
-TRIPLE = "|".join(f"{c}{c}{c}" for c in LETTERS if c == c.lower() and ord(c) < 256)
+DOUBLED = "|".join(f"{c}{c}" for c in LETTERS if c == c.lower() and ord(c) < 256)
 
 
 def features(word: str) -> list[str]:
@@ -239,8 +292,9 @@ class Judge:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit(texts: list[str], labels: np.ndarray, channel: Channel, rounds: int = 300) -> Judge:
-    """Choose features by their log-odds evidence and fit weights by gradient descent with an L2 penalty."""
+def fit(texts: list[str], labels: np.ndarray, channel: Channel, rounds: int = 300, shares: tuple[int, int] | None = None) -> Judge:
+    """Choose features by their log-odds evidence and fit weights by gradient descent with an L2 penalty; shares are the
+    toxic and clean rows that the given ones stand for, if others."""
     pos, neg = int(labels.sum()), int((1 - labels).sum())
     if not pos or not neg:
         rate = pos / max(1, pos + neg)
@@ -281,24 +335,39 @@ def fit(texts: list[str], labels: np.ndarray, channel: Channel, rounds: int = 30
         step += g * g
         w -= 0.3 * g / np.sqrt(step)
         b -= 0.5 * (p - labels).mean() / max(1e-3, (p * (1 - p)).mean())
+    if shares and min(shares):
+        b += math.log(shares[0] / shares[1]) - math.log(pos / neg)
     return Judge({names[i]: float(x) for i, x in zip(chosen.tolist(), w)}, float(b))
 
 
+def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(_id, _y) of usable labels, each once."""
+    return labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)").distinct()
+
+
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """Labelled texts, at most TOXIC_SAMPLE and CLEAN_SAMPLE of each class, by smallest hashed id; ids first, texts afterwards."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)")
-    ids = None
+    """Labelled texts, at most TOXIC_SAMPLE and CLEAN_SAMPLE of each class, by smallest hashed id; ids first, texts afterwards.
+
+    Of rows with one id and label one is taken, that with the smallest hashed text, so that repeats don't lift the bound.
+    """
+    known, ids = labelled(labels, id_col, label_col), None
     for y, most in ((1, TOXIC_SAMPLE), (0, CLEAN_SAMPLE)):
         part = known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
         ids = part if ids is None else ids.unionByName(part)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id").select("_id", "_text", "_y")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id")
+    return rows.groupBy("_id", "_y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text")).select("_id", "_text", "_y")
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", counted: DataFrame | None = None) -> tuple[np.ndarray, Judge]:
     """Character model of all documents (or of ``counted``) and classifier of the labelled ones."""
     model = char_model(docs if counted is None else counted, text_col)
     rows = sample(docs, labels, id_col, text_col, label_col).orderBy("_id", "_text").toArrow()
-    return model, fit(rows["_text"].fill_null("").to_pylist(), rows["_y"].to_numpy().astype(np.int64), Channel(model))
+    y = rows["_y"].to_numpy().astype(np.int64)
+    counts = {r[0]: r[1] for r in labelled(labels, id_col, label_col).groupBy("_y").count().collect()}
+    # a class below its cap is in the sample as a whole; of one above it the labels' count says how many rows there are
+    caps = {1: TOXIC_SAMPLE, 0: CLEAN_SAMPLE}
+    shares = tuple(int((y == k).sum()) * max(1.0, counts.get(k, 0) / caps[k]) for k in (1, 0))
+    return model, fit(rows["_text"].fill_null("").to_pylist(), y, Channel(model), shares=shares)
 
 
 def scores(docs: DataFrame, model: np.ndarray, judge: Judge, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -313,15 +382,14 @@ def scores(docs: DataFrame, model: np.ndarray, judge: Judge, id_col: str = "doc_
     return arrow_map(docs, [id_col, text_col, *kept], run, ", ".join([f"doc_id {kinds[id_col]}", "score double", *(f"`{k}` {kinds[k]}" for k in kept)]), text_col)
 
 
-_channels: dict[int, Channel] = {}
+_last: list = [None, None]
 
 
 def scored(texts: pa.Array, table: np.ndarray, judge: Judge) -> np.ndarray:
-    channel = _channels.get(id(table))
-    if channel is None:
-        _channels.clear()
-        channel = _channels[id(table)] = Channel(table)
-    return judge.score(len(texts), *restored_words(pc.fill_null(texts, ""), channel))
+    """Scores; the channel of the table before is kept, and known by the table itself, which it holds on to."""
+    if _last[0] is not table:
+        _last[:] = [table, Channel(table)]
+    return judge.score(len(texts), *restored_words(pc.fill_null(texts, ""), _last[1]))
 
 
 def accepted(docs: DataFrame, model: np.ndarray, judge: Judge, text_col: str = "text", reject: float = 0.5) -> DataFrame:
