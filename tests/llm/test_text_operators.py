@@ -166,23 +166,44 @@ def test_simhash_matches_brute_force(spark):
     docs += [" ".join(x if rng.random() > 0.004 else "zz" for x in (PASSAGE + " " + docs[k % 5]).split()) for k in range(40)]
     prints = [brute_print(t) for t in docs]
     linked = [(a, b) for a in range(len(docs)) for b in range(a) if bin(prints[a] ^ prints[b]).count("1") <= 4]
-    got = simhash.near_duplicates(frame(spark, docs), width=4, words=1, radius=4, least=4, size=3).orderBy("doc_id").collect()
+    got = simhash.near_duplicates(frame(spark, docs), width=4, words=1, radius=4).orderBy("doc_id").collect()
     assert [r["f0"] & (1 << 64) - 1 for r in got] == prints
     assert [r["component_id"] for r in got] == roots(len(docs), linked)
     assert len(set(roots(len(docs), linked))) < len(docs) - 10
 
 
-def test_posting_lists_and_midpoints_agree():
-    gen = np.random.default_rng(1)
-    centre = gen.integers(0, 1 << 63, 3, dtype=np.uint64)
-    f = np.unique([c ^ np.uint64(sum(1 << int(k) for k in set(gen.integers(0, 30, 3)))) for c in centre for _ in range(300)])
-    pairs = np.argwhere(np.triu(np.bitwise_count(f[:, None] ^ f[None]) <= 4, 1)).tolist()
-    want = roots(len(f), pairs)
-    assert roots(len(f), simhash.list_links(f[:, None], 4, 4)) == want == roots(len(f), simhash.midpoint_links(f))
-    sets = simhash.cover(8, 4, 3)
+def test_any_two_within_the_radius_share_a_list():
     from itertools import combinations
 
-    assert len(sets) == 20 and all(any(set(s) <= set(m) for s in sets) for m in combinations(range(8), 4))
+    sets = simhash.cover(8, 4)
+    assert len(sets) == 70 and all(any(set(s) <= set(m) for s in sets) for n in range(4, 9) for m in combinations(range(8), n))
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 7, 100])
+def test_lists_are_given_whole_or_in_pieces(monkeypatch, most):
+    monkeypatch.setattr(simhash, "LIST", most)
+    own = random.Random(most)
+    keys = sorted(own.choice(range(9)) for _ in range(60))
+    rows = [(k, i, 0, 0, i) for i, k in enumerate(keys)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + 8]], pa.int64()) for c in range(5)], ["key", "id", "f0", "f1", "label"]) for i in range(0, 60, 8)]
+    seen = {}
+    for part, piece in simhash.in_lists(iter(batches)):
+        for k in sorted(set(part[:, 0].tolist())):
+            own_rows = part[part[:, 0] == k, 1].tolist()
+            assert (piece >= 0) == (keys.count(k) > most) and len(own_rows) <= most and (piece < 0 or set(part[:, 0]) == {k})
+            seen.setdefault(k, []).append((piece, own_rows))
+    assert {k: [x for _, xs in v for x in xs] for k, v in seen.items()} == {k: [i for i, x in enumerate(keys) if x == k] for k in set(keys)}
+    assert all([p for p, _ in v] in ([-1], list(range(len(v)))) for v in seen.values())
+
+
+def test_split_lists_lose_no_link(spark, monkeypatch):
+    gen = random.Random(2)
+    base = [gen.choice(WORDS) for _ in range(60)]
+    docs = [" ".join(x if gen.random() > 0.02 else gen.choice(WORDS) for x in base) for _ in range(40)] + corpus()[:20]
+    args = [dict(width=4, words=1, radius=4), {}]
+    whole = [sorted(map(tuple, simhash.near_duplicates(frame(spark, docs), **a).collect())) for a in args]
+    monkeypatch.setattr(simhash, "LIST", 3)
+    assert [sorted(map(tuple, simhash.near_duplicates(frame(spark, docs), **a).collect())) for a in args] == whole
 
 
 def test_near_duplicates_default_and_edges(spark):
@@ -317,10 +338,84 @@ def test_section_tokens(spark):
         assert sorted(got[i]) == [(k, s, e, c, len(spans)) for k, ((s, e), c) in enumerate(zip(lines, n))]
     fields = tokencount.field_tokens(frame(spark, ["some words\nhere"]), path, "doc_id", ["text", "lang", "source"]).collect()
     assert {r["field"] for r in fields} == {"text", "lang", "source"} and all(r["n_tokens"] > 0 for r in fields)
+    cols, rows = ["text", "lang", "source"], [("some wörds\nhere 日本", "en", "s"), (None, "", "a\n"), ("x" * 50, "fr  ", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {(r["doc_id"], r["field"]): r["n_tokens"] for r in tokencount.field_tokens(df, path, "doc_id", cols).collect()}
+    for i, r in enumerate(rows):
+        ends = np.cumsum([len(x or "") + 1 for x in r]).tolist()
+        spans, n = t.encode("".join((x or "") + "\n" for x in r), add_special_tokens=False).offsets, [0, 0, 0]
+        for a, b in spans:
+            n[int(np.argmax([min(b, e) - max(a, s) for s, e in zip([0, *ends[:-1]], ends)]))] += 1
+        assert [got[i, c] for c in cols] == n
     assert tokencount.section_tokens(edgy(spark), path).select("doc_id").distinct().count() == 8
     assert tokencount.section_tokens(edgy(spark).limit(0), path).count() == 0
 
 
+def plain_ima(block):
+    """One mono block, sample by sample."""
+    pred, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+    out = [pred]
+    for byte in block[4:]:
+        for nibble in (byte & 15, byte >> 4):
+            step = int(media.STEPS[index])
+            d = (step >> 3) + (step >> 2) * (nibble & 1) + (step >> 1) * (nibble >> 1 & 1) + step * (nibble >> 2 & 1)
+            pred = max(-32768, min(32767, pred - d if nibble & 8 else pred + d))
+            index = max(0, min(88, index + [-1, -1, -1, -1, 2, 4, 6, 8][nibble & 7]))
+            out.append(pred)
+    return out
+
+
+def plain_feature(raw):
+    """The feature of a text, value by value, from the laws' formulas."""
+    data = raw + b"\0" * ((-len(raw)) % 64 or (64 if not raw else 0))
+    ulaw = []
+    alaw = 0
+    for b in data:
+        u = ~b & 255
+        m = ((((u & 15) << 3) + 132) << (u >> 4 & 7)) - 132
+        ulaw.append(-m if u & 128 else m)
+        x = b ^ 0x55
+        e, m = x >> 4 & 7, (x & 15) << 4
+        alaw += m + 8 if not e else (m + 264) << (e - 1)
+    pcm = []
+    for a, b in zip(ulaw, ulaw[1:] + [ulaw[-1]]):
+        pcm += [a, (a + b) >> 1]
+    pcm[-1] = ulaw[-1]
+    blocks = [plain_ima(data[i : i + 64]) for i in range(0, len(data), 64)]
+    rms = int((sum(x * x for x in pcm) / len(pcm)) ** 0.5)
+    zc = sum((a >= 0) != (b >= 0) for a, b in zip(pcm, pcm[1:]))
+    return f"n={len(pcm)};rms={rms};zc={zc};peak={max(map(abs, pcm))};alaw={alaw};ima={sum(abs(x) for b in blocks for x in b)};last={blocks[-1][-1]};pcm={zlib.crc32(np.array(pcm, '<i2').tobytes()):08x}"
+
+
+@pytest.mark.parametrize("channels,block", [(1, 256), (1, 1024), (2, 512), (2, 64)])
+def test_adpcm_is_decoded_by_its_header(channels, block):
+    own = random.Random(block + channels)
+    files, want = [], []
+    for size in (block, 3 * block, 2 * block + 8 * 4 * channels):  # the last one ends in a shorter block
+        payload = bytes(own.randrange(256) for _ in range(size))
+        rows = []
+        for at in range(0, size, block):
+            b = payload[at : at + block]
+            each = []
+            for c in range(channels):
+                body = b"".join(b[4 * channels + 4 * (g * channels + c) :][:4] for g in range((len(b) // channels - 4) // 4))
+                each.append(plain_ima(b[4 * c : 4 * c + 4] + body))
+            rows += list(zip(*each))
+        files.append(media.wave(payload, media.IMA, 8000, channels, block))
+        want.append(rows)
+    got = media.decoded([media.parse(x) for x in files])
+    assert [[tuple(int(v) for v in r) for r in g] for g in got] == want
+
+
+def test_files_of_other_kinds_are_refused(spark):
+    odd = [b"RIFF", media.wave(b"abcd", media.MULAW, channels=3), media.wave(b"ab", 85), media.wave(b"x" * 60, media.IMA, block=60, channels=2)]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(odd)] + [(9, None)], "id int, media binary")
+    assert [r["pcm"] for r in media.to_pcm(df, "id", "media").collect()] == [None] * 5
+    two = media.wave(b"\x80\xff\x00\x7f", media.MULAW, channels=2)
+    kept = media.to_pcm(spark.createDataFrame([(1, bytearray(two))], "id int, media binary"), "id", "media", 8000).first()["pcm"]
+    assert np.frombuffer(media.parse(bytes(kept))[2], "<i2").tolist() == media.MULAW_TABLE[[0x80, 0xFF, 0x00, 0x7F]].tolist()
+
+
 def test_telephony(spark):
     # known points of both laws, and the reference form of the ADPCM step
     assert media.MULAW_TABLE[[0xFF, 0x7F, 0x80, 0x00]].tolist() == [0, 0, 32124, -32124]
@@ -353,6 +448,10 @@ def test_telephony(spark):
         assert media.parse(bytes(pcm["pcm"]))[:2] == (media.PCM, 16000)
     broken = spark.createDataFrame([(1, bytearray(b"RIFFxx")), (2, None)], "id long, media binary")
     assert [r["pcm"] for r in media.to_pcm(broken, "id", "media").collect()] == [None, None]
+    assert [r["feature"] for r in media.text_media(frame(spark, ["hello", "x" * 200])).orderBy("doc_id").collect()] == [plain_feature(b"hello"), plain_feature(b"x" * 200)]
+    own = media.text_media(frame(spark, ["hello"])).first()
+    file = media.to_pcm(media.stored_texts(frame(spark, ["hello"])), "id", "media").first()["pcm"]
+    assert own["pcm_bytes"] == len(file) == 44 + 256 and own["pcm_sha256"] == hashlib.sha256(bytes(file)).hexdigest()
     assert media.text_media(edgy(spark)).count() == 9 and media.text_media(edgy(spark).limit(0)).count() == 0
 
 
@@ -409,7 +508,7 @@ def test_toxicity_sees_through_the_channel(spark):
     right = [(got[i] >= 0.5) == bool(y[i]) for i in range(400, 600)]
     assert np.mean(right) > 0.97
     clean = texts[1]
-    hidden = [clean + " " + x for x in ("m0r0n 1d10t", "m o r o n so i d i o t", "mooooron idioooot", "m.o.r.o.n i.d.i.o.t", "m-o-r-o-n i-d-i-o-t", "MORON IDIOT")]
+    hidden = [clean + " " + x for x in ("m0r0n 1d10t", "m o r o n so i d i o t", "mooooron idioooot", "m.o.r.o.n i.d.i.o.t", "m-o-r-o-n i-d-i-o-t", "MORON IDIOT", "morron iddiot", "mor on id iot")]
     found = [r["score"] for r in toxicity.scores(frame(spark, [clean, *hidden]), model, judge).orderBy("doc_id").collect()]
     assert found[0] < 0.5 and min(found[1:]) >= 0.5
     assert [r["doc_id"] for r in toxicity.accepted(docs, model, judge).collect()] == [i for i in range(600) if got[i] < 0.5]
@@ -425,6 +524,32 @@ def test_toxicity_edges(spark):
     assert toxicity.scores(e.limit(0), *toxicity.trained(e.limit(0), none)).count() == 0
 
 
+def test_the_score_does_not_depend_on_the_caps(monkeypatch, spark):
+    texts, y = synthetic_toxicity(600)
+    rare = [i for i in range(600) if not y[i] or i % 8 == 0]  # toxic rows are few
+    docs, labels = frame(spark, [texts[i] for i in rare]), spark.createDataFrame([(k, y[i]) for k, i in enumerate(rare)], "doc_id long, toxic int")
+    toxic = sum(y[i] for i in rare)
+    whole = toxicity.trained(docs, labels)[1]
+    monkeypatch.setattr(toxicity, "CLEAN_SAMPLE", toxic)
+    assert len(rare) > 4 * toxic and abs(toxicity.trained(docs, labels)[1].bias - whole.bias) < 0.5 * np.log((len(rare) - toxic) / toxic)
+
+
+def test_another_model_is_another_channel():
+    texts, y = synthetic_toxicity(200)
+    whole = pa.array(texts[:20], pa.large_string())
+    first = toxicity.smoothed(toxicity.trigrams(pa.array(texts, pa.large_string())).astype(float))
+    judge = toxicity.fit(texts, np.array(y[:200]), toxicity.Channel(first))
+    toxicity.scored(whole, first, judge)
+    for _ in range(20):  # freed and made again, an array may get the same address
+        other = np.ascontiguousarray(first[::-1, ::-1, ::-1])
+        toxicity.scored(whole, other, judge)
+        assert toxicity._last[0] is other and toxicity._last[1].lm == other.ravel().tolist()
+        del other
+        again = first.copy()
+        toxicity.scored(whole, again, judge)
+        assert toxicity._last[0] is again and toxicity._last[1].lm == first.ravel().tolist()
+
+
 def test_viterbi_matches_all_paths():
     texts, _ = synthetic_toxicity(200)
     model = toxicity.smoothed(toxicity.trigrams(pa.array(texts, pa.large_string())).astype(float))
@@ -433,10 +558,11 @@ def test_viterbi_matches_all_paths():
     def paths(word):
         out = [("", 0.0, (0, 0))]
         for i, c in enumerate(word):
-            run = i > 0 and word[i - 1] == c and (i > 1 and word[i - 2] == c or i + 1 < len(word) and word[i + 1] == c)
+            twice = i > 0 and word[i - 1] == c
+            run = twice and (i > 1 and word[i - 2] == c or i + 1 < len(word) and word[i + 1] == c)
             ways = [(toxicity.class_of(c), c, 0.0)] if c.isalpha() else [(toxicity.class_of(x), x, toxicity.LOOK) for x in toxicity.LOOKALIKES.get(c, "")] + [(0, " ", toxicity.KEEP if c in toxicity.LOOKALIKES else toxicity.SPLIT)]
-            if run or c in toxicity.SEPARATORS:
-                ways.append((-1, "", toxicity.REPEAT if run else toxicity.SPLIT))
+            if run or twice and c.isalpha() or c in toxicity.SEPARATORS:
+                ways.append((-1, "", toxicity.REPEAT if run else toxicity.DOUBLE if twice and c.isalpha() else toxicity.SPLIT))
             new = []
             for text, s, (a, b) in out:
                 for k, x, cost in ways:
@@ -447,7 +573,7 @@ def test_viterbi_matches_all_paths():
             out = new
         return max(s + float(model[a, b, 0]) for _, s, (a, b) in out), {text for text, s, (a, b) in out if s + float(model[a, b, 0]) > max(x + float(model[p, q, 0]) for _, x, (p, q) in out) - 1e-6}
 
-    for word in ("m0r0n", "1d1ot", "m.o.r", "moooon", "v3qu1la", "$4m3", "a-b c"):
+    for word in ("m0r0n", "1d1ot", "m.o.r", "moooon", "v3qu1la", "$4m3", "a-b c", "moroon", "iddiot", "lalla"):
         assert channel.restore(word) in paths(word)[1]
 
 
@@ -471,6 +597,47 @@ def test_language_id(spark):
     assert abs(one["score"] - got[7]["score"]) < 1e-6  # a text's score doesn't depend on its neighbours
 
 
+def test_predictions_equal_a_plain_computation():
+    texts = [" ".join("".join(rng.choice(LANGS[x]) for _ in range(2)) for _ in range(12)) for x in [*LANGS] * 30]
+    model = langid.train(texts, [*LANGS] * 30)
+    asked = ["The eau; and Ünd que!", "x", "der und 12 keit", "é"]
+
+    def plain(text):
+        spelled = " ".join("".join(chr(c) if 97 <= c <= 122 or c >= 128 else " " for c in text.lower().encode()).split(" "))
+        while "  " in spelled:
+            spelled = spelled.replace("  ", " ")
+        raw = bytes(ord(c) for c in (spelled if spelled.startswith(" ") else " " + spelled))
+        total, n = np.zeros(len(model.languages)), 0
+        for size in langid.GRAMS:
+            for i in range(len(raw) - size + 1):
+                gram = raw[i : i + size]
+                if b" " in gram[1:-1] or gram == b"  ":
+                    continue
+                h = size * 0x9E3779B1 & 0xFFFFFFFF
+                for b in gram:
+                    h = (h ^ b) * 0x85EBCA6B & 0xFFFFFFFF
+                    h ^= h >> 13
+                total += model.table[h >> 17, :-1]
+                n += 1
+        x = np.exp((total / max(1, n) + model.bias) * model.heat)
+        return model.languages[int(x.argmax())], x.max() / x.sum()
+
+    names, scores = model.predict(pa.array(asked, pa.large_string()))
+    for text, name, score in zip(asked, names, scores):
+        want = plain(text)
+        assert name == want[0] and abs(score - want[1]) < 1e-4
+
+
+def test_rejection_is_calibrated():
+    scores, right = np.linspace(0.3, 1, 1000), np.ones(1000, bool)
+    right[:50] = False
+    noise = np.linspace(0.2, 0.4, 100)
+    t = langid.calibrated(scores, right, noise)
+    assert (scores[right] < t).mean() <= langid.LOST + 1e-3 and (noise < t).mean() >= 0.5  # clean rows come first
+    assert langid.calibrated(np.full(100, 0.99), np.ones(100, bool), noise) == pytest.approx(np.quantile(noise, langid.NOISE))
+    assert 0 < langid.train(["der und ung " * 5, "les eau que " * 5] * 20, ["de", "fr"] * 20).reject < 1
+
+
 def test_language_id_edges(spark):
     e = edgy(spark)
     model = langid.trained(e)

@@ -106,3 +106,28 @@ def test_stages_follow_each_other(spark, sf):
     five = p.pack(spark, four, sf)
     assert {r["doc_id"]: r["n"] for r in five.groupBy("doc_id").agg(F.sum("n_words").alias("n")).collect()} == want
     assert five.groupBy("bin_id").agg(F.sum("n_words").alias("n")).where("n > 2048").count() == 0
+
+
+def test_stages_of_an_odd_table(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    english = docs.join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 0"), "doc_id").where("lang = 'en' AND n_chars > 300").limit(5)
+    pool = " ".join(r["text"] for r in english.collect()).split()
+    long = " ".join(np.random.default_rng(1).permutation(pool)[:400].tolist())
+    rows = [(None, long), (None, long), (1000, None), (1001, ""), (1002, long + " one"), (1002, " ".join(np.random.default_rng(2).permutation(pool)[:400].tolist())), (1003, long), (1003, long), (1004, long * 30)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    odd = odd.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
+    both = docs.unionByName(odd)
+    for c in ("row", "sig", "turn", "k0", "_own_row_", "score", "words", "place", "again"):
+        both = both.withColumn(c, F.lit("clash"))
+    for table in (both, both.limit(0)):
+        at = table
+        for name, stage in p.STAGES[:-1]:
+            at = stored(stage(spark, at, sf))
+            assert at.columns == both.columns, name
+            if name == "simhash" and table is both:
+                kept = [(r["doc_id"], r["text"]) for r in at.collect()]
+                assert kept.count((None, long)) == 2 and (1002, rows[5][1]) in kept
+                assert sum(t == long for i, t in kept if i is not None) + sum(t == long + " one" for _, t in kept) == 1
+        assert (p.STAGES[-1][1](spark, at, sf).count() > 0) == (table is both)
