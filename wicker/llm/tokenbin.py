@@ -8,8 +8,12 @@ order with the ids and documents before each: prefix sums over the partitions' t
 A task writes its files under a name of its own and reports it; bases.json lists the reported ones only, so that tasks
 that are run again after an executor is lost leave at most files that nothing names.
 
-Defined results: null and empty texts give just the end id; rows with one doc_id follow each other by text, a null doc_id
-comes first; very long texts are encoded whole; special-token strings in a text are special tokens, as in the library; an
+The folder is a path that all executors have mounted (a file: address or none); any other file system is refused, as it can't
+be memory-mapped. Partitions are ranges of (doc_id, hash of the text), so that many rows of one id, or without one, are
+dealt over several.
+
+Defined results: null and empty texts give just the end id; ids must be integers (anything else is refused by name); rows with
+one doc_id follow each other by their texts' hashes, a null doc_id comes first; very long texts are encoded whole; special-token strings in a text are special tokens, as in the library; an
 empty table gives a folder without partitions. Only the named columns are read.
 """
 
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_chars
-from .common import local_path, shared_dir, sliced, spread, texts_of
+from .common import integers, local_path, shared_dir, sliced, spread, texts_of
 from .segment import Words, core_and_tail, flattened
 
 REMEMBERED = 250_000
@@ -109,9 +113,11 @@ def load(path: str) -> WordIds:
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> int:
     """Write the files in ascending id order; returns the number of partitions. The folder is on storage that all executors share."""
+    integers(docs, id_col)
     spark, place = docs.sparkSession, local_path(folder)
     os.makedirs(place, exist_ok=True)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     size = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(1, -(-int(size) // PARTITION_BYTES))
 
@@ -139,8 +145,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
         low = every[0].as_py()
         yield pa.RecordBatch.from_pylist([{"name": name, "low": low, "n_docs": len(every), "n_tokens": tokens, "width": ids.width}], pa.schema([("name", pa.string()), ("low", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
 
-    ordered = rows.repartitionByRange(parts, "doc_id") if parts > 1 else rows.coalesce(1)
-    found = ordered.sortWithinPartitions("doc_id", "text").mapInArrow(run, "name string, low long, n_docs long, n_tokens long, width int").withColumn("part", F.spark_partition_id()).collect()
+    ordered = rows.repartitionByRange(parts, "doc_id", "h") if parts > 1 else rows.coalesce(1)
+    found = ordered.sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text").mapInArrow(run, "name string, low long, n_docs long, n_tokens long, width int").withColumn("part", F.spark_partition_id()).collect()
     bases, token, doc = [], 0, 0
     for r in sorted(found, key=lambda r: r["part"]):  # prefix sums: one row for each partition
         bases.append({"name": r["name"], "width": r["width"], "token_base": token, "doc_base": doc, "n_docs": r["n_docs"], "n_tokens": r["n_tokens"]})
