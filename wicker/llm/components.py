@@ -4,6 +4,9 @@ Each round points every node at the smallest neighbour of its neighbourhood (lar
 star: smaller ones and itself) until nothing moves; rounds grow with the logarithm of the longest chain. Minima are
 aggregated before the shuffle, so that a hub costs no task more than its own share, and AQE may split the joins. Every
 round's links are written to shared storage: nothing is collected but a count and a checksum.
+
+Defined results: links with a null end and from a node to itself say nothing; repeated links count once; a table without
+links gives no rows; only the columns a and b are read.
 """
 
 from __future__ import annotations
