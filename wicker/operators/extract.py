@@ -280,3 +280,13 @@ def qualified(defs: DataFrame) -> DataFrame:
     nodes = defs.select(F.struct("file_id", "def_idx").alias("node_id"), "name", F.lit("def").alias("kind"))
     contains = defs.where("parent IS NOT NULL").select(F.struct("file_id", F.col("parent").alias("def_idx")).alias("src"), F.struct("file_id", "def_idx").alias("dst"))
     return qualified_names(nodes, contains, "file").select("node_id.file_id", "node_id.def_idx", "qualified")
+
+
+def report(tables: dict[str, DataFrame]) -> DataFrame:
+    """(lang, files, defs, refs): what was extracted, by language."""
+    files = tables["files"].select("file_id", "lang")
+    out = files.groupBy("lang").agg(F.count(F.lit(1)).alias("files"))
+    for name in ("defs", "refs"):
+        n = tables[name].groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).join(files, "file_id").groupBy("lang").agg(F.sum("n").alias(name))
+        out = out.join(n, "lang", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out

@@ -314,6 +314,11 @@ def extract_python(spark: SparkSession, sf: str) -> DataFrame:
     return u["defs"].join(u["files"].select("file_id", "path"), "file_id").select("path", "name", "kind", "parent")
 
 
+@query("SELECT * FROM (VALUES ('python', 3, 9, 11), ('typescript', 1, 4, 3)) t(lang, files, defs, refs)")
+def language_report(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.report(fixture_units(spark))
+
+
 def fixture_edges(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Nodes (path, qualified, kind) of the fixture, and its edges between labels; a file's label is its path."""
     u = fixture_units(spark)
