@@ -4,8 +4,8 @@ A document is encoded once, as a whole, by the exact encoder of ``bpe``; its tok
 (as the tokenizers library's offsets), which binary search joins with the sections' spans. Rule for a token over a border: it counts for the section that holds most of its characters, the earlier one if
 two hold equally many; a token with no characters of its own (a later part of a character's bytes) has its character's span.
 
-Sections are the lines of a text, each with its newline; ``fields`` does the same for the given columns, encoded as one
-text with newlines between them.
+Sections are the lines of a text, each with its newline (``section_tokens``), or a row's fields, encoded as one text with a
+newline behind each, which belongs to its field (``field_tokens``); newlines inside a field stay what they are.
 
 Defined results: a null or empty text is one empty section with 0 tokens; repeated rows and ids are kept row by row;
 very long texts are encoded whole; null fields count as empty. Only the named columns are read.
@@ -64,15 +64,28 @@ def token_bytes(texts: pa.Array, docs: np.ndarray, path: str) -> tuple[np.ndarra
 def lines(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
     ids, texts = batch.column(0), pc.fill_null(batch.column(1), "")
     data, docs = texts_of(texts)
-    n = len(docs) - 1
-    # characters that begin at or before each byte; sections start at documents' starts and after newlines
-    char = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+    # sections start at documents' starts and after newlines; a newline at the end opens none
     ends = np.flatnonzero(data == 10) + 1
     own = np.searchsorted(docs, ends - 1, "right") - 1
-    inside = ends < docs[1:][own]  # a newline at the end opens no section
-    heads, doc = np.concatenate([docs[:-1], ends[inside]]), np.concatenate([np.arange(n), own[inside]])
+    inside = ends < docs[1:][own]
+    heads, doc = np.concatenate([docs[:-1], ends[inside]]), np.concatenate([np.arange(len(docs) - 1), own[inside]])
     order = np.lexsort((heads, doc))
-    heads, doc = heads[order], doc[order]
+    return sections(ids, texts, heads[order], doc[order], path)
+
+
+def parts(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
+    """The same for texts of several fields; the third column has the fields' sizes in bytes."""
+    size = np.stack([np.asarray(x) for x in batch.column(2).to_pylist()]).astype(np.int64) if batch.num_rows else np.zeros((0, 1), np.int64)
+    _, docs = texts_of(batch.column(1))
+    heads = docs[:-1, None] + np.cumsum(size, 1) - size
+    return sections(batch.column(0), batch.column(1), heads.ravel(), np.repeat(np.arange(len(docs) - 1), size.shape[1]), path)
+
+
+def sections(ids: pa.Array, texts: pa.Array, heads: np.ndarray, doc: np.ndarray, path: str) -> pa.RecordBatch:
+    """Counts of the sections that begin at the given bytes of the batch, in the given documents, in order."""
+    data, docs = texts_of(texts)
+    n = len(docs) - 1
+    char = np.append(0, np.cumsum((data & 0xC0) != 0x80))  # characters that begin before each byte
     first = np.searchsorted(doc, np.arange(n + 1))
     at = char[heads] + doc  # every document gets a place of its own, so that one binary search serves all, empty ones too
     owner, size = token_bytes(texts, docs, path)
@@ -99,8 +112,10 @@ def section_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 
 def field_tokens(rows: DataFrame, path: str, id_col: str, fields: list[str]) -> DataFrame:
-    """Tokens of each field of a row, its fields encoded together as lines (newlines inside a field become spaces): id, field, n_tokens."""
-    flat = [F.translate(F.coalesce(F.col(c).cast("string"), F.lit("")), "\n", " ") for c in fields]
-    whole = rows.select(F.col(id_col).alias("doc_id"), F.concat(F.concat_ws("\n", *flat), F.lit("\n")).alias("text"))
+    """Tokens of each field of a row, its fields encoded together, a newline behind each: doc_id, field, n_tokens."""
+    texts = [F.concat(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\n")) for c in fields]
+    whole = rows.select(F.col(id_col).alias("doc_id"), F.concat(*texts).alias("text"), F.array(*map(F.octet_length, texts)).alias("sizes"))
+    schema = f"doc_id {dict(rows.dtypes)[id_col]}, section int, begin_char long, end_char long, n_tokens long, doc_tokens long"
+    counted = arrow_map(whole, ["doc_id", "text", "sizes"], lambda b: parts(b, path), schema, "text", SLICE_BYTES)
     names = F.array(*map(F.lit, fields))
-    return section_tokens(whole, path).select("doc_id", names[F.col("section")].alias("field"), "n_tokens")
+    return counted.select("doc_id", names[F.col("section")].alias("field"), "n_tokens")
