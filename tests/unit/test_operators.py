@@ -361,3 +361,12 @@ def test_pieces_of_source(spark):
     assert set(got) == {1, 3, 4} and got[1][1] == "    def go(self):\n        pass\n" and got[4][0] == 40
     kept = select.emit_budget(pieces, "q", 10_000).collect()
     assert sorted(r["rank"] for r in kept) == [1, 4]
+
+
+def test_scalar_rules_counts_hours_beyond_a_day(spark, tmp_path):
+    spark.createDataFrame([(i,) for i in (59, 60, 3_599, 3_600, 86_399, 86_400, 200_000)], "page_id long").write.parquet(str(tmp_path / "pages.parquet"))
+    from wicker.plans import server
+
+    got = {r["page_id"]: r["age"] for r in server.scalar_rules(spark, str(tmp_path)).collect()}
+    assert got == {59: "59s", 60: "1m", 3_599: "59m", 3_600: "1h", 86_399: "23h", 86_400: "24h", 200_000: "55h"}
+    assert one(spark, a=S.ago(F.lit(86_400)), b=S.ago(F.lit(200_000)))["a"] == "1d"

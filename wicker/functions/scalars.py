@@ -190,8 +190,10 @@ def html_escaped(text: Column) -> Column:
     return text
 
 
-def ago(seconds: Column) -> Column:
+def ago(seconds: Column, largest: str = "d") -> Column:
+    """A time span in whole units, the largest that fits up to ``largest``."""
     units = ((86_400, "d"), (3_600, "h"), (60, "m"))
+    units = units[[name for _, name in units].index(largest) :]
     out = F.concat(seconds.cast("string"), F.lit("s"))
     for size, name in reversed(units):
         out = F.when(seconds >= size, F.concat(F.floor(seconds / size).cast("string"), F.lit(name))).otherwise(out)
