@@ -370,3 +370,14 @@ def test_scalar_rules_counts_hours_beyond_a_day(spark, tmp_path):
     got = {r["page_id"]: r["age"] for r in server.scalar_rules(spark, str(tmp_path)).collect()}
     assert got == {59: "59s", 60: "1m", 3_599: "59m", 3_600: "1h", 86_399: "23h", 86_400: "24h", 200_000: "55h"}
     assert one(spark, a=S.ago(F.lit(86_400)), b=S.ago(F.lit(200_000)))["a"] == "1d"
+
+
+def test_best_copies_look_back_over_the_whole_group(spark):
+    said = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    near = said(0) + " one more"
+    rows = [(0, "a", said(0)), (1, "b", said(0)), *((i, "a", said(i)) for i in range(2, 400)), (400, "a", near), (401, "a", said(0)), (402, "a", near), (403, "a", None), (404, None, said(0)), (405, "a", "few words")]
+    table = spark.createDataFrame(rows, "id long, repo string, text string")
+    got = {(r["id"], r["prior"], round(r["copy"], 6)) for r in dedup.best_copies(table, "id", "repo", "text").collect()}
+    assert got == {(400, 0, round(28 / 30, 6)), (401, 0, 1.0), (402, 400, 1.0)}
+    recent = {(r["id"], r["prior"]) for r in dedup.recent_copies(table, "id", "repo", "text", 0.3).collect()}
+    assert recent == {(401, 400), (402, 400), (402, 401)}

@@ -54,6 +54,11 @@ def report_words(c: Column) -> Column:
     return F.transform(words(c), ascii_lower)
 
 
+def report_text(c: Column) -> Column:
+    """The report words joined by single blanks."""
+    return F.trim(F.regexp_replace(ascii_lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
+
+
 def runs(w: Column, n: int = 3) -> Column:
     """Every n neighbours, joined by blanks. Shifted copies are zipped, so that the array is made n times, not once an element."""
     out = w

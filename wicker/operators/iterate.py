@@ -25,6 +25,22 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Drops an execution's shuffle files once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df computed once, as Parquet in the shared folder; the shuffle files that it took are dropped at once."""
+    spark, folder = df.sparkSession, f"{shared_root(df.sparkSession).rstrip('/')}/step-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 _written: dict[tuple, str] = {}
 
 

@@ -260,9 +260,10 @@ def near_dup_words(spark: SparkSession, sf: str) -> DataFrame:
     return reports(spark, sf).select("id", F.size("shingles").alias("shingles"), F.size("words").alias("words"))
 
 
-@query(f"WITH {SQL_COMPARED} SELECT id, prior, round(copy, 6) AS copy FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(copy + txt, 9) DESC, prior DESC) AS k FROM sim WHERE copy >= 0.6) WHERE k = 1")
+@query(f"WITH {SQL_COMPARED.replace(' AND b.rank >= a.rank - 300', '')} SELECT id, prior, round(copy, 6) AS copy FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(copy + txt, 9) DESC, prior DESC) AS k FROM sim WHERE copy >= 0.6) WHERE k = 1")
 def near_dup_best(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.best_match(dedup.compared(reports(spark, sf))).select("id", "prior", F.round("copy", 6).alias("copy"))
+    """Of all earlier documents of the source, however far back."""
+    return dedup.best_copies(table(spark, sf, "documents"), "doc_id", "source", "text").select("id", "prior", F.round("copy", 6).alias("copy"))
 
 
 @query(f"""WITH f AS (SELECT doc_id AS id, list_sort(list_distinct({ASKED('text')})[1:24]) AS x FROM documents) SELECT id FROM (SELECT doc_id AS id, list_sort({ASKED("CASE WHEN doc_id % 9 = 0 THEN text || ' rewritten' ELSE text END")}) AS a, list_sort({ASKED('text')}) AS b FROM documents) WHERE a <> b""")
