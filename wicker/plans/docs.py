@@ -252,7 +252,8 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {SQL_COMPARED} SELECT id, prior, round(copy, 6) AS copy, round(txt, 6) AS text FROM sim WHERE copy >= 0.3")
 def near_dup_shingles(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.compared(reports(spark, sf)).where("copy >= 0.3").select("id", "prior", F.round("copy", 6).alias("copy"), F.round("text", 6).alias("text"))
+    near = dedup.recent_copies(table(spark, sf, "documents"), "doc_id", "source", "text", 0.3)
+    return near.select("id", "prior", F.round("copy", 6).alias("copy"), F.round("text", 6).alias("text"))
 
 
 @query(f"WITH {SQL_REPORTS} SELECT id, CAST(n AS INT) AS shingles, CAST(len(cw) AS INT) AS words FROM fp")
