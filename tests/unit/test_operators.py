@@ -381,3 +381,15 @@ def test_best_copies_look_back_over_the_whole_group(spark):
     assert got == {(400, 0, round(28 / 30, 6)), (401, 0, 1.0), (402, 400, 1.0)}
     recent = {(r["id"], r["prior"]) for r in dedup.recent_copies(table, "id", "repo", "text", 0.3).collect()}
     assert recent == {(401, 400), (402, 400), (402, 401)}
+
+
+def test_star_edges_write_the_layout_asked_for_only(spark, sf, tmp_path):
+    import os
+
+    from wicker.operators import iterate
+    from wicker.plans import bindings
+
+    os.symlink(sf, tmp_path / "sf")
+    before = set(iterate._written)
+    bindings.star_edges(spark, str(tmp_path / "sf"), "dst")
+    assert sorted(key[1] for key in set(iterate._written) - before) == ["edges", "graph-dst"]

@@ -29,16 +29,22 @@ def settled(df: DataFrame) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df computed once, as Parquet in the shared folder; the shuffle files that it took are dropped at once."""
-    spark, folder = df.sparkSession, f"{shared_root(df.sparkSession).rstrip('/')}/step-{uuid.uuid4().hex}"
+def write_clean(df: DataFrame, folder: str) -> None:
+    """df as Parquet in the folder; the shuffle files that it took are dropped at once."""
+    spark = df.sparkSession
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(folder)
+        df.write.mode("overwrite").parquet(folder)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(folder)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df computed once, as Parquet in the shared folder, so that its real size is known to what reads it."""
+    folder = f"{shared_root(df.sparkSession).rstrip('/')}/step-{uuid.uuid4().hex}"
+    write_clean(df, folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 _written: dict[tuple, str] = {}

@@ -112,11 +112,11 @@ def resolve_imported(refs: DataFrame, names: DataFrame) -> DataFrame:
     return refs.join(names, ["file_id", "name"]).select("ref", F.col("node").alias("dst"), F.lit(95).alias("conf"), F.lit("import").alias("prov"))
 
 
-def narrowed(candidates: DataFrame) -> DataFrame:
-    """Of candidates(ref, dst, locality) those with the best locality, their number n and confidence; too many have none."""
+def narrowed(candidates: DataFrame, *carried: str) -> DataFrame:
+    """Of candidates(ref, dst, locality) those with the best locality, their number n and confidence; too many have none. Carried columns stay."""
     w = W.partitionBy("ref")
     best = candidates.withColumn("top", F.max("locality").over(w)).where("locality = top")
-    return best.withColumn("n", F.count(F.lit(1)).over(w)).select("ref", "dst", "locality", F.col("n").cast("int").alias("n"), name_confidence(F.col("n")).alias("conf"))
+    return best.withColumn("n", F.count(F.lit(1)).over(w)).select("ref", *carried, "dst", "locality", F.col("n").cast("int").alias("n"), name_confidence(F.col("n")).alias("conf"))
 
 
 def resolve_named(refs: DataFrame, defs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:

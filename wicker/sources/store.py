@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ids import compaction, overlay
-from ..operators.iterate import settled
+from ..operators.iterate import settled, write_clean
 
 
 def write_graph(folder: str, tables: dict[str, DataFrame], buckets: int | None = None) -> None:
     """nodes, edges by source and by target, and the rest. Each edge layout is range-partitioned and sorted by its key, so a lookup reads a few row groups."""
     for name, df in tables.items():
         if name == "edges":
-            for key, other in (("src", "dst"), ("dst", "src")):
-                part = df.repartitionByRange(buckets, key) if buckets else df.repartitionByRange(key)
-                part.sortWithinPartitions(key, other, "kind", "conf").write.mode("overwrite").parquet(f"{folder}/edges_by_{key}")
+            for key in ("src", "dst"):
+                write_edges(folder, df, key, buckets)
         else:
             df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def write_edges(folder: str, edges: DataFrame, key: str, buckets: int | None = None) -> None:
+    """One layout of the edges: by src or by dst."""
+    part = edges.repartitionByRange(buckets, key) if buckets else edges.repartitionByRange(key)
+    write_clean(part.sortWithinPartitions(key, "dst" if key == "src" else "src", "kind", "conf"), f"{folder}/edges_by_{key}")
+
+
 def open_graph(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {"nodes": spark.read.parquet(f"{folder}/nodes"), "forward": spark.read.parquet(f"{folder}/edges_by_src"), "reverse": spark.read.parquet(f"{folder}/edges_by_dst")}
 
