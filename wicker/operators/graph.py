@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import REASONS
-from .iterate import prefix_sums, settled
+from .iterate import prefix_sums, settled, written
 
 
 def dedup_edges(edges: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def impact(edges: DataFrame, starts: list[int], depth: int = 3, min_conf: int =
     frontier = seen
     for hop in range(1, depth + 1):
         step = use.join(frontier, use["dst"] == frontier["node_id"]).select(F.col("src").cast("long").alias("node_id")).distinct()
-        frontier = settled(step.join(seen, "node_id", "left_anti").select("node_id", F.lit(hop).alias("hops")))
+        frontier = written(step.join(seen, "node_id", "left_anti").select("node_id", F.lit(hop).alias("hops")))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -69,7 +69,7 @@ def shortest_path(edges: DataFrame, a: int, b: int, max_hops: int = 8) -> DataFr
         if reached:
             break
         step = use.join(frontier, use["src"] == frontier["node_id"]).groupBy("dst").agg(F.min("src").alias("parent"))
-        frontier = settled(step.withColumnRenamed("dst", "node_id").join(seen.select("node_id"), "node_id", "left_anti").select("node_id", "parent", F.lit(hop).alias("hops")))
+        frontier = written(step.withColumnRenamed("dst", "node_id").join(seen.select("node_id"), "node_id", "left_anti").select("node_id", "parent", F.lit(hop).alias("hops")))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
