@@ -393,3 +393,10 @@ def test_star_edges_write_the_layout_asked_for_only(spark, sf, tmp_path):
     before = set(iterate._written)
     bindings.star_edges(spark, str(tmp_path / "sf"), "dst")
     assert sorted(key[1] for key in set(iterate._written) - before) == ["edges", "graph-dst"]
+
+
+def test_graph_diff_brings_each_edge_together_once(spark):
+    edge = lambda *rows: spark.createDataFrame(rows, "src long, dst long")
+    diff = ids.graph_diff(edge((1, 2), (1, 2), (1, 3)), edge((1, 3), (2, 3)), ["src", "dst"])
+    assert sorted(tuple(r) for r in diff.collect()) == [(1, 2, "removed"), (2, 3, "added")]
+    assert "Join" not in diff._jdf.queryExecution().optimizedPlan().toString()

@@ -70,8 +70,9 @@ def compaction(base: DataFrame, statuses: DataFrame) -> DataFrame:
 
 def graph_diff(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     """Edges of one graph that the other lacks, by the key columns."""
-    gone = before.select(*key).distinct().join(after.select(*key).distinct(), key, "left_anti").withColumn("side", F.lit("removed"))
-    return gone.unionByName(after.select(*key).distinct().join(before.select(*key).distinct(), key, "left_anti").withColumn("side", F.lit("added")))
+    both = before.select(*key, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(after.select(*key, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    seen = both.groupBy(*key).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b")).where("_a <> _b")
+    return seen.select(*key, F.when(F.col("_a") == 1, "removed").otherwise("added").alias("side"))
 
 
 def semantic_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import answers, evaluate, graph, ids, resolve, retrieve
+from ..operators.iterate import written
 from . import bindings as B
 from .bindings import SQL_CONTAINS, SQL_EDGES, SQL_NODES, SQL_RESOLVED
 
@@ -221,7 +222,8 @@ def id_assign_churn(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {SQL_RESOLVED}, a AS (SELECT DISTINCT src, dst FROM resolved WHERE conf >= 60), b AS (SELECT DISTINCT src, dst FROM resolved WHERE conf IS NOT NULL AND src // 8 % 7 <> 0)
 SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, 'removed' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT src, dst, 'added' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def graph_diff(spark: SparkSession, sf: str) -> DataFrame:
-    e = B.star_resolved(spark, sf).where("conf IS NOT NULL")
+    # a pair's best confidence decides for both graphs, so that calls are resolved and brought together once
+    e = written(B.star_resolved(spark, sf).where("conf IS NOT NULL").groupBy("src", "dst").agg(F.max("conf").alias("conf")))
     return ids.graph_diff(e.where("conf >= 60"), e.where("shiftright(src, 3) % 7 <> 0"), ["src", "dst"])
 
 
