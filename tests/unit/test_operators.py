@@ -400,3 +400,26 @@ def test_graph_diff_brings_each_edge_together_once(spark):
     diff = ids.graph_diff(edge((1, 2), (1, 2), (1, 3)), edge((1, 3), (2, 3)), ["src", "dst"])
     assert sorted(tuple(r) for r in diff.collect()) == [(1, 2, "removed"), (2, 3, "added")]
     assert "Join" not in diff._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cochange_counts_pairs_in_tasks_of_a_bounded_size(spark, sf):
+    import itertools
+    import random
+    import re
+    from collections import Counter
+
+    draw = random.Random(5)
+    sets = {c: {draw.choice([None, *range(12)]) for _ in range(draw.randint(1, 5))} for c in range(80)} | {80: set(range(20)), 81: set(range(21)), 82: {None, *range(20)}}
+    rows = [(c, f) for c, files in sets.items() for f in files for _ in range(draw.randint(1, 3))]
+    table = spark.createDataFrame(rows, "commit_id long, file long")
+    n = Counter(p for files in sets.values() if 2 <= len(files) <= 20 for p in itertools.combinations(sorted(files - {None}), 2))
+    best = lambda f: sorted(((-k, *(p if p[0] != f else p[::-1])) for p, k in n.items() if f in p and k >= 3))[:8]
+    want = {(min(f, g), max(f, g), -k) for f in range(20) for k, g, _ in best(f)}
+    for stated in (None, len(rows)):
+        got = cochange.pairs(table, rows=stated)
+        assert {tuple(r)[:3] for r in got.collect()} == want and got.count() == len(want)
+    exchanges = lambda df: {(k, int(x)) for k, x in re.findall(r"hashpartitioning\(([a-z]+)#\d+L?,[^)]*?(\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())}
+    assert exchanges(cochange.pairs(table, rows=10_000_000)) == {("a", 48), ("file", 40)}
+    from wicker.plans import server
+
+    assert server.cochange_edges(spark, sf)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 4

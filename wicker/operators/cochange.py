@@ -10,15 +10,35 @@ from pyspark.sql import functions as F
 DRIFT = 25
 
 
-def pairs(commits: DataFrame, smallest: int = 2, largest: int = 20, support: int = 3, partners: int = 8) -> DataFrame:
+#: Rows of commits, and pairs at most, that a task takes.
+ROWS, PAIRS = 500_000, 2_000_000
+
+
+def tasks(rows: int, each: int = ROWS) -> int:
+    """So many tasks that none has more than ``each`` of the rows on average."""
+    return max(1, -(-rows // each))
+
+
+def pairs(commits: DataFrame, smallest: int = 2, largest: int = 20, support: int = 3, partners: int = 8, rows: int | None = None) -> DataFrame:
     """(a, b, n, conf) with a < b, from commits(commit_id, file): pairs of enough commits that stand among the strongest
-    partners of either file. Commits of too many files are counted and left out before their files are gathered."""
+    partners of either file. A commit's files are counted and walked in order; none gathers more than the next ``largest``.
+
+    ``rows`` is how many the commits have. Where it is given, pairs are counted in tasks of PAIRS at most, not in as many as
+    the session has for a shuffle, and what a task holds doesn't grow with the history. A pair hardly comes twice in a task
+    of commits, so that pairs are counted where they meet and not before.
+    """
     files = commits.select("commit_id", "file").distinct()
-    fit = files.groupBy("commit_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(smallest, largest)).select("commit_id")
-    use = files.join(fit, "commit_id", "left_semi").groupBy("commit_id").agg(F.array_sort(F.collect_list("file")).alias("f")).select("f")
-    each = use.select(F.explode(F.flatten(F.transform("f", lambda x, i: F.transform(F.slice("f", i + 2, largest), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
-    n = each.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
-    both = n.select(F.col("a").alias("file"), F.col("b").alias("partner"), "n").unionByName(n.select(F.col("b").alias("file"), F.col("a").alias("partner"), "n"))
+    w = W.partitionBy("commit_id").orderBy("file")
+    count = F.count(F.lit(1)).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    walked = files.select(F.col("file").alias("a"), count.alias("m"), F.collect_list("file").over(w.rowsBetween(1, largest - 1)).alias("later"))
+    each = walked.where(F.col("m").between(smallest, largest) & F.col("a").isNotNull()).select("a", F.explode("later").alias("b"))
+    if rows is not None:
+        each = each.repartition(tasks(rows * (largest - 1) // 2, PAIRS), "a", "b")
+    n = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
+    ways = F.array(F.struct(F.col("a").alias("file"), F.col("b").alias("partner")), F.struct(F.col("b").alias("file"), F.col("a").alias("partner")))
+    both = n.select(F.explode(ways).alias("w"), "n").select("w.file", "w.partner", "n")
+    if rows is not None:
+        both = both.repartition(tasks(2 * rows), "file")
     top = both.withColumn("r", F.row_number().over(W.partitionBy("file").orderBy(F.desc("n"), "partner"))).where(F.col("r") <= partners)
     kept = top.select(F.least("file", "partner").alias("a"), F.greatest("file", "partner").alias("b"), "n").distinct()
     return kept.withColumn("conf", F.least(F.lit(40) + 3 * F.col("n"), F.lit(70)).cast("int"))
