@@ -423,3 +423,36 @@ def test_cochange_counts_pairs_in_tasks_of_a_bounded_size(spark, sf):
     from wicker.plans import server
 
     assert server.cochange_edges(spark, sf)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 4
+
+
+def test_ascii_words_are_lowered_alone(spark):
+    words = ["ABCxyz", "ÉCOLE", "İX", "ß", "", None, "KK"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(T.ascii_lower(F.col("w"))).collect()
+    assert [r[0] for r in got] == ["abcxyz", "École", "İx", "ß", "", None, "kK"]
+    text = "a.b.cde cde. x_1 models.query a.b.cde ... Zé.Zé"
+    every, names = one(spark, e=T.symbol_tokens(F.lit(text)), n=T.symbol_names(F.lit(text)))
+    assert names == list(dict.fromkeys(every)) == ["cde", "a.b.cde", "cde.", "x_1", "models", "query", "models.query", "...", "Zé", "Zé.Zé"]
+
+
+def test_symbol_seeds_pass_on_leads_only(spark, monkeypatch):
+    defs = [("rare", 1), ("rare", 2), ("Shape", 9), *(("Common", i) for i in range(13)), *(("plain", i) for i in range(3)), ("file", 5), ("test", 6), ("n.m", 7)]
+    nodes = spark.createDataFrame([(i, n, "function", "tests/x_test.py" if (n, i) == ("rare", 1) else "a") for n, i in defs], "node_id long, name string, kind string, path string")
+    asked = spark.createDataFrame([(1, "Common rare plain Shape n.m file Common"), (2, "Common file test plain"), (3, None), (4, "Common plain")], "id long, text string")
+    want = {(1, 2, 0, 2, False), (1, 9, 3, 1, False), (1, 7, 0, 1, False), (2, 5, 0, 1, True), (2, 6, 0, 1, True)}
+    for most in (retrieve.COMMONEST, 1):  # names behind the commonest are told by the join
+        monkeypatch.setattr(retrieve, "COMMONEST", most)
+        got = retrieve.symbol_seeds(asked, nodes, "id", "text")
+        assert {(r["query_id"], r["node_id"], r["shape"], r["n_defs"], r["fallback"]) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "SortAggregate" not in plan
+    best = retrieve.ranked_names(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert best.index("SortAggregate") < best.index("HashAggregate(keys=[name")  # structs are compared after nodes are hashed together
+
+
+def test_seeds_of_repeated_ids_count_once(spark, tmp_path):
+    from wicker.plans import docs
+
+    rows = [(1, "Alpha beta Alpha", "en"), (1, "Alpha gamma", "en"), (2, "Alpha", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["query_id"], r["node_id"], r["n_defs"]) for r in docs.seeds_from_text(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 2), (2, 1, 2)}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scalars import candidate_rank, depth
+from .iterate import written
 
 
 def prose_table(docs: DataFrame, id_col: str, text_col: str, cap: int = 96) -> DataFrame:
@@ -42,9 +43,12 @@ def find(nodes: DataFrame, names: list[str], most: int | None = 50) -> DataFrame
 
 
 def ranked_names(nodes: DataFrame) -> DataFrame:
-    """The best node of every name: not a test, not a variable, shallow, then the smaller id; with the number of its namesakes."""
-    order = F.struct(candidate_rank(F.col("path"), F.col("kind")).alias("rank"), depth(F.col("path")).alias("depth"), "node_id")
-    return nodes.groupBy("name").agg(F.min(order).alias("best"), F.count(F.lit(1)).cast("int").alias("n_defs")).select("name", "best.node_id", "n_defs")
+    """The best node of every name: not a test, not a variable, shallow, then the smaller id; with the number of its namesakes.
+
+    Nodes of one name, rank and depth are hashed together before any are compared as structs, which would sort them all.
+    """
+    alike = nodes.groupBy("name", candidate_rank(F.col("path"), F.col("kind")).alias("rank"), depth(F.col("path")).alias("depth")).agg(F.min("node_id").alias("node_id"), F.count(F.lit(1)).alias("n"))
+    return alike.groupBy("name").agg(F.min(F.struct("rank", "depth", "node_id")).alias("best"), F.sum("n").cast("int").alias("n_defs")).select("name", "best.node_id", "n_defs")
 
 
 def named_seeds(nodes: DataFrame, owners: DataFrame, asked: list[str]) -> DataFrame:
@@ -62,17 +66,23 @@ def named_seeds(nodes: DataFrame, owners: DataFrame, asked: list[str]) -> DataFr
     return kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("ord", "asked", "node_id")
 
 
+#: The names most defined among those that can't be leads: a text's mentions of them go no further than its own task.
+COMMONEST = 1 << 16
+
+
 def symbol_seeds(questions: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(query_id, node_id, shape, n_defs, pos, fallback): leads that a text names.
 
     Names with more than 12 definitions are common words; plain lower-case ones are leads only with two or fewer. Stop words
-    count only where nothing else is found, and only with two definitions or fewer.
+    count only where nothing else is found, and only with two definitions or fewer. What a name can be is told by itself and
+    its definitions, so that names are judged once and tokens meet only those that can be leads.
     """
-    tokens = questions.select(F.col(id_col).alias("query_id"), F.posexplode(F.array_distinct(T.symbol_tokens(F.col(text_col)))).alias("pos", "name"))
-    best = ranked_names(nodes)
     stop = T.listed(T.ascii_lower(F.col("name")), T.QUERY_STOP)
-    hit = tokens.join(best, "name").withColumns({"shape": T.identifier_shape(F.col("name")), "fallback": stop})
-    hit = hit.where(F.when(F.col("fallback"), F.col("n_defs") <= 2).otherwise((F.col("n_defs") <= 12) & ((F.col("shape") > 0) | (F.col("n_defs") <= 2))))
+    lead = F.when(F.col("fallback"), F.col("n_defs") <= 2).otherwise((F.col("n_defs") <= 12) & ((F.col("shape") > 0) | (F.col("n_defs") <= 2)))
+    best = written(ranked_names(nodes).withColumns({"shape": T.identifier_shape(F.col("name")), "fallback": stop}).withColumn("lead", lead))
+    common = best.where(~F.col("lead")).orderBy(F.desc("n_defs"), "name").limit(COMMONEST).select("name")
+    tokens = questions.select(F.col(id_col).alias("query_id"), F.posexplode(T.symbol_names(F.col(text_col))).alias("pos", "name"))
+    hit = tokens.join(F.broadcast(common), "name", "left_anti").join(best.where("lead").drop("lead"), "name")  # the first only spares rows
     strong = F.max(~F.col("fallback")).over(W.partitionBy("query_id"))
     hit = hit.withColumn("strong", strong).where(~F.col("fallback") | ~F.col("strong"))
     first = W.partitionBy("query_id", "node_id").orderBy("pos")

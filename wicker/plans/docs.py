@@ -126,7 +126,9 @@ SELECT query_id, node_id, CAST(shape AS INT) AS shape, CAST(n_defs AS INT) AS n_
 def seeds_from_text(spark: SparkSession, sf: str) -> DataFrame:
     """Documents ask; every word of a document names it."""
     d = table(spark, sf, "documents")
-    named = d.select(F.col("doc_id").alias("node_id"), F.explode(T.words(F.col("text"))).alias("name")).distinct()
+    named = d.select(F.col("doc_id").alias("node_id"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("name"))
+    if not d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # else a row's own words are distinct
+        named = named.distinct()
     nodes = named.select("node_id", "name", F.lit("function").alias("kind"), F.lit("a").alias("path"))
     asked_ = d.select("doc_id", F.concat("text", F.lit(" ASIA Europe "), F.coalesce("lang", F.lit(""))).alias("text"))
     return retrieve.symbol_seeds(asked_, nodes, "doc_id", "text").select("query_id", "node_id", "shape", "n_defs", "fallback")
