@@ -456,3 +456,23 @@ def test_seeds_of_repeated_ids_count_once(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r["query_id"], r["node_id"], r["n_defs"]) for r in docs.seeds_from_text(spark, str(tmp_path)).collect()}
     assert got == {(1, 1, 2), (2, 1, 2)}
+
+
+def test_keyword_postings_hold_what_is_asked(spark, sf, tmp_path):
+    import os
+
+    from wicker.operators import iterate
+    from wicker.plans import docs
+
+    said = "Alpha ALPHA beta abc with 1234 éééé Zoë_ " + "x" * 25 + " École"
+    table = spark.createDataFrame([("s", said), ("s", None), ("t", "alpha"), (None, "beta")], "source string, text string")
+    prose = table.select("source", F.explode(T.prose_words(F.col("text"))).alias("word")).distinct()
+    words = [(w,) for w in ("alpha", "beta", "abc", "with", "1234", "éééé", "zoë_", "x" * 25, "École", "École".lower(), "gone")]
+    wanted = spark.createDataFrame(words, "word string").select(F.explode(T.indexed(F.array("word"))).alias("word"))
+    got = sorted(map(str, retrieve.keyword_postings(table, "source", "text", wanted).collect()))
+    assert got == sorted(map(str, prose.select(F.col("source").alias("item"), "word").collect())) and len(got) == 6
+    os.symlink(sf, tmp_path / "sf")
+    docs.keyword_ranked(spark, str(tmp_path / "sf"))
+    folder = next(f for key, f in iterate._written.items() if key[1] == "sources" and str(tmp_path) in str(key[2]))
+    kept = {r["word"] for r in spark.read.parquet(folder).collect()}
+    assert kept and kept <= {r["word"] for r in docs.asked(spark, sf).collect()}  # no vocabulary of the texts is written or shuffled

@@ -33,6 +33,11 @@ def prose_words(c: Column) -> Column:
     return F.filter(low, lambda x: ~listed(x, PROSE_STOP))
 
 
+def indexed(c: Column) -> Column:
+    """Of a list of lowered words, those that prose words can be: lowering keeps length and letters, so that words may be judged after it."""
+    return F.filter(c, lambda x: F.octet_length(x).between(4, 24) & x.rlike("[a-z]") & ~listed(x, PROSE_STOP))
+
+
 def query_words(c: Column, least: int = 4) -> Column:
     """Distinct lower-cased words of a question, at least so many bytes long, no stop words."""
     return F.array_distinct(F.filter(F.transform(words(c), ascii_lower), lambda x: (F.octet_length(x) >= least) & ~listed(x, QUERY_STOP)))

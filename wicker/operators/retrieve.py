@@ -134,6 +134,15 @@ def assembled(names: DataFrame, paths: DataFrame, prose: DataFrame, most: int) -
     return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", "rank", "node_id", "m.why")
 
 
+def keyword_postings(docs: DataFrame, item_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(item, word), distinct: which of the wanted(word), all of them lowered and worth indexing, each item's texts hold.
+
+    All words of all texts are looked up, in the task that reads them; the rest of the vocabulary is in no answer and isn't kept.
+    """
+    words = docs.select(F.col(item_col).alias("item"), F.explode(T.words(F.col(text_col))).alias("word")).select("item", T.ascii_lower(F.col("word")).alias("word"))
+    return words.join(wanted, "word", "left_semi").distinct().select("item", "word")
+
+
 def keyword_hits(query: DataFrame, postings: DataFrame) -> DataFrame:
     """(query_id, item, hits): distinct words of the query(query_id, word) that postings(item, word) has."""
     return query.join(postings, "word").groupBy("query_id", "item").agg(F.countDistinct("word").cast("int").alias("hits"))

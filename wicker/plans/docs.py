@@ -196,8 +196,9 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC
 
 
 def keyword_ranked(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").select(F.col("source").alias("item"), F.explode(F.array_distinct(T.prose_words(F.col("text")))).alias("word")).distinct()
-    postings = spark.read.parquet(written_once(spark, "sources", [f"{sf}/documents.parquet"], lambda folder: words.write.parquet(folder)))
+    wanted = table(spark, sf, "benchmark").select(F.explode(T.indexed(T.query_words(F.col("text")))).alias("word")).distinct()
+    held = retrieve.keyword_postings(table(spark, sf, "documents"), "source", "text", wanted)
+    postings = spark.read.parquet(written_once(spark, "sources", [f"{sf}/documents.parquet", f"{sf}/benchmark.parquet"], lambda folder: held.write.parquet(folder)))
     return retrieve.top(retrieve.keyword_hits(asked(spark, sf), postings), "hits", "item")
 
 
